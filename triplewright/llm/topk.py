@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Columns of a score block that is in memory at once.
 STRIP = 4096
+#: The key of a query's own vector, below all others.
+OWN = -(2**62)
 
 
 def _tile(k: int):
@@ -24,12 +26,12 @@ def _tile(k: int):
                 scores = (q @ x[at : at + STRIP].T).astype(np.int64)
                 # one number orders by score, then by the smaller id; all are different
                 keys = scores * STRIP + (STRIP - 1 - np.arange(len(part)))
-                keys[q_ids[:, None] == part[None, :]] = np.iinfo(np.int64).min
+                keys[q_ids[:, None] == part[None, :]] = OWN
                 top = min(k, len(part))
                 best = np.argpartition(-keys, top - 1, axis=1)[:, :top]
                 row = np.repeat(np.arange(len(q_ids)), top)
                 col = best.ravel()
-                live = keys[row, col] != np.iinfo(np.int64).min
+                live = keys[row, col] != OWN
                 row, col = row[live], col[live]
                 found.append(
                     pd.DataFrame({"query_id": q_ids[row], "vec_id": part[col], "score": scores[row, col], "shard": shard})
