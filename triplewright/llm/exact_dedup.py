@@ -36,13 +36,8 @@ def exact_dedup(
     )
     narrow = materialize(base.select("n", "prefix"))
     lengths = narrow.groupBy("n").count().where("count > 1").select("n")
-    suspects = (
-        narrow.join(lengths, "n", "left_semi")
-        .groupBy("n", "prefix")
-        .count()
-        .where("count > 1")
-        .select("n", "prefix", F.lit(True).alias("suspect"))
-    )
+    pairs = narrow.groupBy("n", "prefix").count().where("count > 1")
+    suspects = pairs.join(lengths, "n", "left_semi").select("n", "prefix", F.lit(True).alias("suspect"))
     # AQE broadcasts the suspects when their measured size allows; else both sides are dealt by
     # the key and a hot key's partition is split.
     wanted = F.lit(True) if digest_all else F.col("suspect")
