@@ -8,12 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash, topk
+from . import bpe, exact_dedup, line_dedup, packing, secret_scan, simhash, topk
 from .common import documents
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secret_scan.BASE + secret_scan.MORE
+    found = secret_scan.secret_scan(documents(spark, sf_dir), rules)
+    count = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("__spans", lambda s: s["kind"] < len(secret_scan.BASE))
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scan.joined(base, rules), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("__spans"), rules).alias("spans"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), VOCABULARY)
     return pieces.select(
@@ -65,15 +80,44 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir)).select(
+        "doc_id",
+        F.col("__lines").alias("n_lines"),
+        F.col("__removed").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), e AS (
+  SELECT doc_id, site, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d
+), t AS (
+  SELECT *, trim(line, E' \t\n\x0b\f\r') AS body FROM e
+), b AS (
+  SELECT body, min(doc_id) AS first_id FROM t WHERE body <> '' GROUP BY body HAVING count(DISTINCT site) >= 8
+), k AS (
+  SELECT t.doc_id, t.line, t.place, b.body IS NULL OR t.doc_id = b.first_id AS kept FROM t LEFT JOIN b USING (body)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (kept), '')) AS text_sha256
+FROM k GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secrets": op2_secrets,
         "op3_packing": op3_packing,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash": op5_simhash,
         "op6_bpe": op6_bpe,
         "op8_topk": op8_topk,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op8_topk": OP8_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op8_topk": OP8_SQL, "op10_line_dedup": OP10_SQL}
