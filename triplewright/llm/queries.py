@@ -29,6 +29,36 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op2_sql() -> str:
+    rules = secret_scan.BASE + secret_scan.MORE
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    matches = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS kind, {quote(r.kind)} AS name, {r.least} AS least, "
+        f"string_split_regex(text, {quote(r.pattern)}) AS gaps, regexp_extract_all(text, {quote(r.pattern)}, 0) AS found, "
+        f"regexp_extract_all(text, {quote(r.pattern)}, {r.group}) AS counted FROM d"
+        for i, r in enumerate(rules)
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({matches}),
+e AS (
+  SELECT doc_id, kind, name, least, unnest(gaps[1:len(found)]) AS gap, unnest(found) AS hit, unnest(counted) AS part,
+    generate_subscripts(found, 1) AS i FROM m WHERE len(found) > 0
+), s AS (
+  SELECT doc_id, kind, name, least, length(part) AS size,
+    sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS stop, length(hit) AS n FROM e
+), k AS (
+  SELECT doc_id, kind, stop - n AS start, name || ':' || (stop - n) || ':' || stop AS span FROM s WHERE size >= least
+), a AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+    count(*) FILTER (kind = 2) AS n_hex, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+    string_agg(span, ',' ORDER BY start, kind) AS spans FROM k GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), VOCABULARY)
     return pieces.select(
@@ -120,4 +150,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op8_topk": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_secrets": _op2_sql(), "op4_exact_dedup": OP4_SQL, "op8_topk": OP8_SQL, "op10_line_dedup": OP10_SQL}
