@@ -8,12 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, secret_scan, simhash, topk
+from . import bpe, exact_dedup, line_dedup, packing, quality, secret_scan, simhash, topk
 from .common import documents
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality.classify(documents(spark, sf_dir), labels)
+    return found.select(
+        "doc_id",
+        F.col("__doc").alias("doc_probability"),
+        F.col("__host").alias("host_posterior"),
+        F.col("__path").alias("path_posterior"),
+        F.col("__score").alias("score"),
+        F.col("__keep").alias("keep"),
+    )
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = secret_scan.BASE + secret_scan.MORE
     found = secret_scan.secret_scan(documents(spark, sf_dir), rules)
@@ -139,6 +152,7 @@ FROM k GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_secrets": op2_secrets,
         "op3_packing": op3_packing,
         "op4_exact_dedup": op4_exact_dedup,
