@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, quality, secret_scan, simhash, topk
+from . import bpe, exact_dedup, line_dedup, packing, quality, secret_scan, simhash, substring, topk
 from .common import documents
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -123,6 +123,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(documents(spark, sf_dir), texts=False)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir)).select(
         "doc_id",
@@ -159,6 +163,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_bpe": op6_bpe,
         "op8_topk": op8_topk,
+        "op9_substring": op9_substring,
         "op10_line_dedup": op10_line_dedup,
     }
 
