@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, quality, secret_scan, simhash, substring, topk
+from . import bpe, exact_dedup, line_dedup, lm, packing, quality, secret_scan, simhash, substring, topk
 from .common import documents
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -102,6 +102,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(documents(spark, sf_dir), VOCABULARY)
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(documents(spark, sf_dir))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         "vec_id", F.transform("embedding", lambda x: F.floor(x * 256).cast("double")).alias("embedding")
@@ -162,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash": op5_simhash,
         "op6_bpe": op6_bpe,
+        "op7_language_model": op7_language_model,
         "op8_topk": op8_topk,
         "op9_substring": op9_substring,
         "op10_line_dedup": op10_line_dedup,
