@@ -1,16 +1,71 @@
-"""The document pipeline: stages of documents in, documents out."""
+"""The document pipeline: each stage takes and gives documents; the last packs them.
+
+Each function takes (spark, docs, sf_dir). All but the last return the columns of ``docs``;
+``n_chars``, where it is there, follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from triplewright.llm import line_dedup, packing, quality, secret_scan, simhash
+from triplewright.llm.common import documents, stored
+from triplewright.llm.queries import VOCABULARY
 
+#: SQL can express neither the fitted classifier nor the fingerprints.
 ORACLE_SQL = None
 
 
+def _columns_of(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        size = F.length(F.coalesce("text", F.lit(""))).cast(kind)
+        changed = changed.withColumn("n_chars", size)
+    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps, unchanged."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(docs, labels).where("__keep").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that many sites share."""
+    return _columns_of(line_dedup.line_dedup(docs), docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates; of rows that share id and text, one."""
+    key = lambda body: F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), body)
+    keep = simhash.near_duplicates(docs).where("keep").select(key(F.col("body")).alias("__key"))
+    keyed = docs.withColumn("__key", key(F.xxhash64(F.coalesce("text", F.lit("")))))
+    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with *** in place of its secrets."""
+    return _columns_of(secret_scan.mask(secret_scan.secret_scan(docs)), docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the token sequences that hold all documents."""
+    return packing.pack(docs, VOCABULARY)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("simhash near-dedup", near_duplicate_stage),
+    ("secret scans", secret_stage),
+    ("packing", packing_stage),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages in order; what a stage gives is written and read again by the next."""
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
