@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: ASCII blanks, for trimming at both ends.
 BLANKS = " \t\n\x0b\f\r"
 #: Every sequence that ends a line of text.
-LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\u0085  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\u0085\u2028\u2029]"
 #: Lines that carry no content.
 DOI = r"(?i)doi:\s*\d+\.\d+/\S+"
 NUMBERED = r"^\d+[:.]"
@@ -34,7 +34,7 @@ def normalize(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """The lines of a text without a byte-order mark."""
-    return F.split(F.regexp_replace(c, "^﻿", ""), LINE_ENDS, -1)
+    return F.split(F.regexp_replace(c, r"^\uFEFF", ""), LINE_ENDS, -1)
 
 
 def bare_line(c: Column) -> Column:
