@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
                 if table in sql or any(table in DERIVED[u] for u in used):
                     used.append(table)
             body = sql.strip()
-            head = ", ".join(f"{t} AS ({DERIVED[t]})" for t in DERIVED if t in used)
+            head = ", ".join(f"{t} AS ({DERIVED[t]})" for t in reversed(DERIVED) if t in used)
             if head:
                 rest = body[5:].lstrip() if body[:5].upper() == "WITH " else ""
                 recursive = "RECURSIVE " if rest[:10].upper() == "RECURSIVE " else ""
