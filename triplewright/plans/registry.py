@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boundary_queries, graph_queries, retrieval_queries, text_queries  # noqa: F401
-from .base import QUERIES, SQL, Query, kg_edges
+from . import boundary_queries, graph_queries, growth, retrieval_queries, review_queries, text_queries  # noqa: F401
+from .base import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kg_edges(spark, sf_dir)
+    return growth.subgraph(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -49,13 +49,13 @@ def s51b(spark: SparkSession, sf_dir: str) -> DataFrame:
     "s52_similarity_filter",
     TOP
     + """
-SELECT query_id AS id, round(max(score), 4) AS max_score, max(score) >= 0.55 AS kept,
-  CASE WHEN max(score) >= 0.55 THEN string_agg(item_id::VARCHAR, ',' ORDER BY rank) ELSE '' END AS neighbors FROM top WHERE rank <= 5 GROUP BY query_id
+SELECT query_id AS id, round(max(score), 4) AS max_score, max(score) >= 0.25 AS kept,
+  CASE WHEN max(score) >= 0.25 THEN string_agg(item_id::VARCHAR, ',' ORDER BY rank) ELSE '' END AS neighbors FROM top WHERE rank <= 5 GROUP BY query_id
 """,
 )
 def s52(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, given = sides(spark, sf_dir)
-    rows = vectors.filter_by_similarity(asked.select("id"), vectors.top_k(asked, given, 5), 5, 0.55)
+    rows = vectors.filter_by_similarity(asked.select("id"), vectors.top_k(asked, given, 5), 5, 0.25)
     ids = F.array_join(F.transform("neighbors", lambda n: n["edge_id"].cast("string")), ",")
     return rows.select("id", F.round("max_score", 4).alias("max_score"), "kept", ids.alias("neighbors"))
 
@@ -119,10 +119,10 @@ def s52e(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s52f_threshold_retrieval",
-    TOP + "SELECT query_id, rank::INTEGER AS rank, item_id, round(score, 4) AS score FROM top WHERE rank <= 10 AND score >= 0.5",
+    TOP + "SELECT query_id, rank::INTEGER AS rank, item_id, round(score, 4) AS score FROM top WHERE rank <= 10 AND score >= 0.25",
 )
 def s52f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.top_k(*sides(spark, sf_dir), 10).where("score >= 0.5").withColumn("score", F.round("score", 4))
+    return vectors.top_k(*sides(spark, sf_dir), 10).where("score >= 0.25").withColumn("score", F.round("score", 4))
 
 
 @query(
