@@ -124,7 +124,7 @@ def _ids(v: Column) -> Column:
     """An id given as a whole number or as its digits; else null."""
     digits = F.regexp_extract(F.try_variant_get(v, "$.id", "string"), r"^\s*(\d+)\s*$", 1)
     kind = F.schema_of_variant(F.try_variant_get(v, "$.id", "variant"))
-    return F.when(kind.isin("STRING", "BIGINT"), F.try_cast(F.nullif(digits, F.lit("")), "int") if hasattr(F, "try_cast") else F.nullif(digits, F.lit("")).try_cast("int"))
+    return F.when(kind.isin("STRING", "BIGINT"), F.nullif(digits, F.lit("")).try_cast("int"))
 
 
 def batch_qualities(sent: DataFrame, answers: DataFrame, cap: int = 12, on_error: str = "empty") -> DataFrame:
