@@ -113,37 +113,52 @@ def _emit_windows(window: int, gram: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            docs = batch["doc_id"].to_numpy()
-            for i, (text, shared) in enumerate(zip(batch["text"], batch["shared"], strict=True)):
-                h = Hashes([text])
-                low, _ = h.anchors(window, gram)
+            texts, docs, shared = batch["text"].tolist(), batch["doc_id"].to_numpy(), batch["shared"].tolist()
+            for a, b in _groups(texts):
+                h = Hashes(texts[a:b])
+                low, whole = h.anchors(window, gram)
+                # an anchor that is shared for one document is shared for all
+                whole &= np.isin(low, np.concatenate([np.asarray(x, dtype=np.int64) for x in shared[a:b]]).view(np.uint64))
                 hashes, _ = h.runs(window)
-                hashes = hashes[np.isin(low, np.asarray(shared, dtype=np.int64).view(np.uint64))]
-                yield _pairs(docs[i : i + 1], np.zeros(len(hashes), dtype=np.int64), hashes)
+                yield _pairs(docs[a:b], h.text[: len(low)][whole], hashes[whole])
 
     return run
 
 
 def _cut(window: int):
-    """Runs of windows with one owner: the owner's own are reference passages, others are to be checked."""
+    """Runs of windows with one owner: the owner's own are reference passages, others are to be checked.
+
+    A document that another repeats as a whole is a passage as a whole, and its copies are runs.
+    """
+
+    def of(doc: int, leader: int | None, text: str, verdict, hashes: np.ndarray) -> Iterator[tuple[int, int, int, str]]:
+        words = text.encode().split()
+        if leader is not None:
+            yield leader, 0, len(words), b" ".join(words).decode()
+            if leader != doc:
+                return
+        if verdict is None or not len(verdict):
+            return
+        known = np.array([(v["h"], v["owner"]) for v in verdict], dtype=np.int64)
+        known = known[np.argsort(known[:, 0], kind="stable")]
+        at = np.minimum(np.searchsorted(known[:, 0], hashes), len(known) - 1)
+        hit, owner = known[at, 0] == hashes, known[at, 1]
+        starts = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1]) | (owner[1:] != owner[:-1])])
+        for s, e in zip(starts.tolist(), np.r_[starts[1:], len(hit)].tolist(), strict=True):
+            if hit[s]:
+                yield int(owner[s]), s, e - s + window - 1, b" ".join(words[s : e + window - 1]).decode()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc, body, text, verdict in zip(batch["doc_id"], batch["body"], batch["text"], batch["verdict"], strict=True):
-                known = np.array([(v["h"], v["owner"]) for v in verdict], dtype=np.int64).reshape(-1, 2)
-                known = known[np.argsort(known[:, 0], kind="stable")]
-                hashes = Hashes([text]).runs(window)[0].view(np.int64)
-                at = np.minimum(np.searchsorted(known[:, 0], hashes), len(known) - 1)
-                hit = known[at, 0] == hashes
-                owner = known[at, 1]
-                edge = np.r_[True, (hit[1:] != hit[:-1]) | (owner[1:] != owner[:-1])] if len(hit) else []
-                starts = np.flatnonzero(edge)
-                words = text.encode().split()
-                for s, e in zip(starts, np.r_[starts[1:], len(hit)], strict=True):
-                    if hit[s]:
-                        run_ = b" ".join(words[s : e + window - 1]).decode()
-                        out.append((owner[s], doc, body, s, e - s + window - 1, run_))
+            texts, out = batch["text"].tolist(), []
+            for a, b in _groups(texts):
+                h = Hashes(texts[a:b])
+                hashes, bounds = h.runs(window)[0].view(np.int64), np.searchsorted(h.text, np.arange(b - a + 1))
+                for i, row in enumerate(batch.iloc[a:b].itertuples(index=False)):
+                    own = hashes[bounds[i] : max(bounds[i], bounds[i + 1] - window + 1)]
+                    leader = None if pd.isna(row.leader) else int(row.leader)
+                    if len(own):
+                        out += [(o, row.doc_id, row.body, s, n, w) for o, s, n, w in of(row.doc_id, leader, row.text, row.verdict, own)]
             yield pd.DataFrame(out, columns=["owner", "doc", "body", "start", "n", "words"])
 
     return run
@@ -199,7 +214,8 @@ def substring_dedup(
 
     Candidates: each window has an anchor, the smallest hash of its runs of ``gram`` words, so
     equal windows have equal anchors. Windows whose anchor occurs in several documents are hashed;
-    a window's owner is the smallest id that has it. References: the owner's runs of windows that
+    a window's owner is the smallest id that has it. A document equal to an earlier one word for
+    word is checked against that one as a whole. References: the owner's runs of windows that
     others repeat. They are dealt to shards of about ``shard_words`` words; a shard's suffix
     automaton is built where the runs to check arrive, in groups of about ``group_words`` words, so
     one popular passage is spread over many tasks. Maximal spans of ``window`` or more matching
@@ -215,17 +231,25 @@ def substring_dedup(
     text = text_of(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
 
-    anchors = base.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
-    anchors = anchors.mapInPandas(_emit_anchors(window, gram), "h long, doc long")
-    common = anchors.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h")
+    plain = F.btrim(F.regexp_replace("text", BLANKS, " "), F.lit(" "))
+    named = base.where("doc_id is not null")
+
+    anchors = named.select(F.col("doc_id").alias("doc"), "text").mapInPandas(_emit_anchors(window, gram), "h long, doc long")
+    common = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    release(spark)
     shared = materialize(anchors.join(common, "h").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("h").alias("shared")))
+    del common
     release(spark)
 
-    plain = F.btrim(F.regexp_replace("text", BLANKS, " "), F.lit(" "))
+    # of documents that are equal word for word, only the first is looked into
+    whole = materialize(named.select("doc_id", F.xxhash64(plain).alias("key")).distinct())
+    equal = whole.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    leaders = whole.join(equal, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "leader")).alias("leaders"))
     n_words = F.when(plain == "", F.lit(0)).otherwise(F.size(F.split(plain, " ", -1))).cast("long")
     open_ = F.col("shared").isNotNull()
+    leader = F.get(F.filter("leaders", lambda x: x["key"] == F.xxhash64(plain)), F.lit(0))["leader"]
     held = stored(
-        base.join(shared, "doc_id", "left").select(
+        base.join(shared.join(leaders, "doc_id", "left"), "doc_id", "left").select(
             "doc_id",
             n_words.alias("n_words"),
             F.when(~open_, F.sha2(plain, 256)).alias("digest"),
@@ -233,24 +257,30 @@ def substring_dedup(
             F.when(open_, F.xxhash64("text")).alias("body"),
             F.when(open_, F.col("text")).alias("text"),
             "shared",
+            leader.alias("leader"),
         )
     )
-    del shared
+    del shared, whole, equal, leaders
     release(spark)
     suspects = held.where("body is not null")
 
-    windows = suspects.select("doc_id", "text", "shared").mapInPandas(_emit_windows(window, gram), "h long, doc long")
-    owners = windows.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("high")).where("owner < high")
+    first = suspects.where("leader is null or leader = doc_id").select("doc_id", "text", "shared")
+    windows = first.mapInPandas(_emit_windows(window, gram), "h long, doc long")
+    owners = materialize(
+        windows.groupBy("h").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).where("n > 1").select("h", "owner")
+    )
+    release(spark)
     verdict = (
-        windows.join(owners.select("h", "owner"), "h")
+        windows.join(owners, "h")
         .groupBy(F.col("doc").alias("doc_id"))
         .agg(F.collect_list(F.struct("h", "owner")).alias("verdict"))
     )
     cut = stored(
-        suspects.select("doc_id", "body", "text")
-        .join(verdict, "doc_id")
+        suspects.select("doc_id", "body", "text", "leader")
+        .join(verdict, "doc_id", "left")
         .mapInPandas(_cut(window), "owner long, doc long, body long, start long, n long, words string")
     )
+    del owners, verdict
     release(spark)
 
     own = F.col("owner") == F.col("doc")
@@ -271,13 +301,13 @@ def substring_dedup(
         .groupBy(F.col("doc").alias("doc_id"), "body")
         .agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     )
+    unchanged = held.where("body is null").select(
+        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), "kept"
+    )
     changed = (
         suspects.select("doc_id", "body", "n_words", "text")
         .join(spans, ["doc_id", "body"], "left")
         .mapInPandas(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     )
-    whole = held.where("body is null").select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), "kept"
-    )
-    out = changed.unionByName(whole)
+    out = changed.unionByName(unchanged)
     return out if texts else out.drop("kept")
