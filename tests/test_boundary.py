@@ -130,3 +130,27 @@ def test_patterns(spark):
     assert sum(r["subject"] is None for r in got) == 2
     split = triples.training_split(spark.range(2000).select(F.col("id").cast("string").alias("sentence")), 0.8)
     assert 1500 < split.where("is_training").count() < 1700
+
+
+def test_a_caller_and_decomposition(spark):
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "doc_id long, ord int, text string")
+    sent = boundary.prompts(boundary.batched(rows, 2, ["doc_id"], ["ord"]), "decompose", ["doc_id"], "text")
+
+    def call(payload: str) -> str:
+        import json
+
+        items = json.loads(payload)["items"]
+        if items[0]["text"] == "c":
+            raise RuntimeError("busy")
+        return json.dumps({"results": [{"id": i["id"], "qualities": [i["text"].upper()]} for i in items]})
+
+    said = boundary.answered(sent, call)
+    got = boundary.decomposed(rows, said, 2, ["doc_id"], ["ord"], "text").orderBy("doc_id", "id").collect()
+    assert [(r["doc_id"], r["id"], r["quality"]) for r in got] == [(1, 0, "A"), (1, 1, "B")]
+
+
+def test_classified(spark):
+    sent = spark.createDataFrame([(0, "a", 0.5)], "id long, quality string, max_score double")
+    kind = "id long, pos int, decision string, rationale string, novel_spans array<string>, matched_neighbor_sentence string, confidence string"
+    got = novelty.classified(sent, spark.createDataFrame([(0, 0, "new", None, None, None, "1")], kind)).first()
+    assert (got["decision"], got["confidence"], got["quality"]) == ("NEW", 1.0, "a")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -150,6 +151,38 @@ def batch_qualities(sent: DataFrame, answers: DataFrame, cap: int = 12, on_error
     return rows.withColumn("qualities", F.slice(F.coalesce("qualities", none), 1, cap))
 
 
+def decomposed(rows: DataFrame, answers: DataFrame, n: int, by: list[str], order: list[str], text_col: str, cap: int = 12, on_error: str = "empty") -> DataFrame:
+    """by, batch_id, id, pos, quality: the qualities of texts in batches of ``n``, in order.
+
+    ``answers`` holds what a model said to prompts(batched(rows)). A batch without answer has no
+    qualities, or is an error with on_error='fail'.
+    """
+    sent = prompts(batched(rows, n, by, order), "decompose", by, text_col)
+    items = F.from_json("payload_json", "items array<struct<id:int,text:string>>")["items"]
+    asked = sent.select(*by, "batch_id", "prompt_hash", F.explode(items).alias("i")).withColumn("id", F.col("i.id")).drop("i")
+    found = batch_qualities(asked, answers, cap, on_error)
+    return found.select(*by, "batch_id", "id", F.posexplode("qualities").alias("pos", "quality"))
+
+
+def answered(sent: DataFrame, call: Callable[[str], str]) -> DataFrame:
+    """prompt_hash, raw: what a caller that the user supplies says to each payload; raw is null where it fails.
+
+    Prompts are sent where their partition is; a call is repeated if its task is.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            said: list[str | None] = []
+            for payload in batch["payload_json"]:
+                try:
+                    said.append(call(payload))
+                except Exception:  # the policy for missing answers decides later
+                    said.append(None)
+            yield pd.DataFrame({"prompt_hash": batch["prompt_hash"], "raw": said})
+
+    return sent.select("prompt_hash", "payload_json").mapInPandas(run, "prompt_hash string, raw string")
+
+
 def synonyms(answers: DataFrame, most: int = 10) -> DataFrame:
     """keyword, ord, synonym: at most so many strings of {"synonyms": [...]} for each keyword, lower case."""
     rows = parsed(answers).select("keyword", F.posexplode(F.slice(_strings(_list(F.col("value"), "synonyms")), 1, most)).alias("ord", "synonym"))

@@ -83,6 +83,14 @@ def by_rules(rows: DataFrame, low: float = 0.45, high: float = 0.9) -> DataFrame
     return rows.withColumn("decision", verdict)
 
 
+def classified(rows: DataFrame, received: DataFrame) -> DataFrame:
+    """Verdicts of qualities (id, quality, max_score, ...) from a model's results (id, pos, decision, ...), strictly by id.
+
+    No quality gives no verdict; ids that don't agree, or a bad confidence, are errors.
+    """
+    return strict(aligned(rows, received))
+
+
 def counts(rows: DataFrame) -> DataFrame:
     """decision, n for each of the three, none left out."""
     names = rows.sparkSession.createDataFrame([(d,) for d in DECISIONS], "decision string")
