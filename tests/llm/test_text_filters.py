@@ -77,7 +77,7 @@ def test_trigram_queries():
 def test_scan_equals_regex(spark):
     rules = secret_scan.BASE + secret_scan.MORE
     rows = [*enumerate(TEXTS), (None, TEXTS[0]), (0, TEXTS[4])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rules": F.lit("kept"), "low": F.lit(1)}).drop("rules")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rules": F.lit("kept"), "low": F.lit(1)})
     found = secret_scan.secret_scan(docs, rules)
     got = sorted((r["text"] or "", r["s"]) for r in found.select("text", secret_scan.joined(F.col("__spans"), rules).alias("s")).collect())
     want = sorted((t or "", ",".join(f"{k}:{s}:{e}" for k, s, e in spans_of(t, rules))) for _, t in rows)

@@ -183,15 +183,15 @@ def secret_scan(
     """
     queries = {i: q for i, rule in enumerate(rules) if (q := trigram_query(rule.pattern))}
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    found = candidates(base, queries).withColumnRenamed("doc_id", "__id")
+    found = candidates(base, queries).select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules"))
     marked = docs.join(found, docs[id_col].eqNullSafe(found["__id"]), "left").drop("__id")
     text = text_of(text_col)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     spans = []
     for i, rule in enumerate(rules):
-        named = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(1 << i) != 0 if i in queries else F.lit(True)
+        named = F.coalesce(F.col("__rules"), F.lit(0)).bitwiseAND(1 << i) != 0 if i in queries else F.lit(True)
         spans.append(F.when(named & F.rlike(text, F.lit(rule.pattern)), _spans(text, rule, i)).otherwise(none))
-    return marked.withColumn("__spans", F.array_sort(reduce(lambda a, b: F.concat(a, b), spans))).drop("rules")
+    return marked.withColumn("__spans", F.array_sort(reduce(lambda a, b: F.concat(a, b), spans))).drop("__rules")
 
 
 def joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
