@@ -27,9 +27,9 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int, margin: float) -> D
     sure = spread.where(F.col("sites") >= min_sites * margin)
     close = spread.where(F.col("sites") < min_sites * margin).select("line")
     exact = (
-        lines.join(close, "line", "left_semi")
-        .groupBy("line", "site")
+        lines.groupBy("line", "site")  # first, so that a hot line is a row per site in the join
         .agg(F.min("doc_id").alias("first_id"))
+        .join(close, "line", "left_semi")
         .groupBy("line")
         .agg(F.count("*").alias("n"), F.min("first_id").alias("first_id"))
         .where(F.col("n") >= min_sites)
