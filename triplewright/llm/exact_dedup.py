@@ -50,8 +50,8 @@ def exact_dedup(
         )
     )
     copies = hashed.where("suspect").groupBy("n", "text_sha256", "doc_id").agg(F.count("*").alias("copies"))
-    groups = copies.groupBy("n", "text_sha256").agg(
-        F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")
+    groups = materialize(  # a written side lets Spark split a hot group on the other
+        copies.groupBy("n", "text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     )
     repeated = (
         copies.join(groups, ["n", "text_sha256"])
