@@ -3,8 +3,10 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -156,3 +158,21 @@ def test_scores(spark):
 def test_registered_lm_query(spark, data):
     got = queries.op7_language_model(spark, data)
     assert got.count() == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
+def test_each_round_trains_on_whole_documents_in_order(monkeypatch):
+    texts = [" ".join("abc"[(i * i + n) % 3] for i in range(n)) for n in (0, 3, 16, 40, 700)]
+    c = Counter(w for t in texts for w in t.encode().split())
+    words = b"\n".join(w for w, _ in c.most_common())
+    counts = np.array([n for _, n in c.most_common()])
+    shared = SimpleNamespace(value=(words, counts, sum(c.values()) + len(texts), len(c) + 1, len(texts)))
+    held = lm.Dictionary(*shared.value, lm.Settings())
+    want = [held.tokens(held.places(t.encode().split())).tolist() for t in texts]
+    seen: list = []
+    train = Gru.train
+    monkeypatch.setattr(Gru, "train", lambda self, docs, *a, **b: seen.extend(docs) or train(self, docs, *a, **b))
+    for turn in range(lm.Settings().rounds):
+        seen.clear()
+        out = pd.concat(lm._train(shared, None, turn, lm.Settings())(iter([pd.DataFrame({"text": texts})])))
+        assert [d.tolist() for d in seen] == want
+        assert out["n"].sum() == sum(map(len, want))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 
 END, UNKNOWN = 0, 1
@@ -131,16 +133,23 @@ class Gru:
 
     def _window(self, y: np.ndarray, h: np.ndarray, x: np.ndarray):
         """Gradients of one window's mean loss, and the state and tokens it ends with."""
-        n, p, steps = self.hidden, self.p, len(y)
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
-        tape, states = [], np.empty((*y.shape, n), dtype=np.float32)
+        n, p, (steps, live) = self.hidden, self.p, y.shape
+        grads = {k: np.zeros_like(v) for k, v in p.items() if k in ("input", "word_w", "word_b")}
+        inputs = np.concatenate([x[None], np.where(y >= 0, y, END)])
+        states = np.empty((steps + 1, live, n), dtype=h.dtype)
+        states[0] = h
+        tape, table = [], p["input"][inputs[:-1]]
         for t in range(steps):
-            new, z, r, un, c = self.step(x, h)
-            tape.append((x, h, z, r, un, c))
-            states[t] = h = new
-            x = np.where(y[t] >= 0, y[t], END)
+            u = h @ p["state"]
+            gates = _sigmoid(table[t, :, : 2 * n] + u[:, : 2 * n])
+            z, r, un = gates[:, :n], gates[:, n:], u[:, 2 * n :]
+            c = np.tanh(table[t, :, 2 * n :] + r * un)
+            tape.append((z, r, un, c))
+            states[t + 1] = h = c + z * (h - c)
         inside = y >= 0
-        hs, ys = states[inside], y[inside]
+        hs, ys = states[1:][inside], y[inside]
+        order = np.argsort(ys, kind="stable")
+        hs, ys = hs[order], ys[order]
         scale = np.float32(1 / max(len(ys), 1))
         rows, cls, word = np.arange(len(ys)), ys // self.per_class, ys % self.per_class
         q = np.exp(hs @ p["class_w"] + p["class_b"])
@@ -149,28 +158,35 @@ class Gru:
         q *= scale
         grads["class_w"], grads["class_b"] = hs.T @ q, q.sum(axis=0)
         back = q @ p["class_w"].T
-        for c in np.unique(cls).tolist():
-            at = np.flatnonzero(cls == c)
-            v = np.exp(hs[at] @ p["word_w"][c].T + p["word_b"][c])
-            v /= v.sum(axis=1, keepdims=True)
-            v[np.arange(len(at)), word[at]] -= 1
-            v *= scale
-            grads["word_w"][c], grads["word_b"][c] = v.T @ hs[at], v.sum(axis=0)
-            back[at] += v @ p["word_w"][c]
-        out = np.zeros_like(states)
-        out[inside] = back
+        edges = np.searchsorted(cls, np.arange(p["class_b"].size + 1)).tolist()
+        for c, (i, j) in enumerate(pairwise(edges)):
+            if i < j:
+                v = np.exp(hs[i:j] @ p["word_w"][c].T + p["word_b"][c])
+                v /= v.sum(axis=1, keepdims=True)
+                v[rows[: j - i], word[i:j]] -= 1
+                v *= scale
+                grads["word_w"][c], grads["word_b"][c] = v.T @ hs[i:j], v.sum(axis=0)
+                back[i:j] += v @ p["word_w"][c]
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        out = np.zeros((steps, live, n), dtype=h.dtype)
+        out[inside] = unsorted
         carry = np.zeros_like(h)
-        inputs, gates = [], []
+        back_u, back_a = np.empty((2, steps, live, 3 * n), dtype=h.dtype)
+        state_t = np.ascontiguousarray(p["state"].T)
         for t in reversed(range(steps)):
-            x_t, before, z, r, un, c = tape[t]
+            z, r, un, c = tape[t]
             d = out[t] + carry
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (before - c) * z * (1 - z)
-            dr = dc * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dc * r], axis=1)
-            grads["state"] += before.T @ du
-            inputs.append(x_t)
-            gates.append(np.concatenate([dz, dr, dc], axis=1))
-            carry = d * z + du @ p["state"].T
-        np.add.at(grads["input"], np.concatenate(inputs), np.concatenate(gates))
-        return grads, h, x
+            du, da = back_u[t], back_a[t]
+            dc = da[:, 2 * n :] = d * (1 - z) * (1 - c * c)
+            du[:, :n] = d * (states[t] - c) * z * (1 - z)
+            du[:, n : 2 * n] = dc * un * r * (1 - r)
+            du[:, 2 * n :] = dc * r
+            carry = d * z + du @ state_t
+        back_a[:, :, : 2 * n] = back_u[:, :, : 2 * n]
+        grads["state"] = states[:-1].reshape(-1, n).T @ back_u.reshape(-1, 3 * n)
+        flat = inputs[:-1].ravel()
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        grads["input"][flat[order][first]] = np.add.reduceat(back_a.reshape(-1, 3 * n)[order], first, axis=0)
+        return {k: grads[k] for k in p}, h, inputs[-1]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,16 +23,16 @@ class Settings:
 
     dictionary: most frequent words whose counts every worker holds; others are joined by word.
     tokens: those of the recurrent model, the most frequent words, the end and one for all others.
-    every: of a training document's windows, one in so many gives a gradient step in each round, at
-        least one; another one in the next round.
+    every: 1 trains on every window of every training document. Above 1, for trials only, each
+        window is used in one round of so many, and the state starts anew after a gap.
     """
 
     dictionary: int = 200_000
     tokens: int = 1024
     per_class: int = 32
-    hidden: int = 16
+    hidden: int = 24
     window: int = 16
-    every: int = 32
+    every: int = 1
     rounds: int = 2
     together: int = 2000
 
@@ -73,10 +72,9 @@ class Dictionary:
     def places(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
-    def tokens(self, places: np.ndarray, end: bool = True) -> np.ndarray:
+    def tokens(self, places: np.ndarray) -> np.ndarray:
         """The model's ids, with the end."""
-        ids = np.where((places >= 0) & (places < self.top), places + 2, UNKNOWN)
-        return np.append(ids, END) if end else ids
+        return np.append(np.where((places >= 0) & (places < self.top), places + 2, UNKNOWN), END)
 
 
 _held: dict[tuple, Dictionary] = {}
@@ -102,6 +100,15 @@ def _batched(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFram
         yield pd.concat(held, ignore_index=True)
 
 
+def _parts(ids: np.ndarray, turn: int, settings: Settings) -> list[np.ndarray]:
+    """What a round trains on of a document: all of it in its own order, or its windows of that round."""
+    if settings.every == 1:
+        return [ids]
+    size, n = settings.window, -(-len(ids) // settings.window)
+    first = turn % min(settings.every, n)
+    return [ids[k * size : (k + 1) * size] for k in range(first, n, settings.every)]
+
+
 def _train(shared: Broadcast, start: bytes | None, turn: int, settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, size, seen = _dictionary(shared, settings), settings.window, 0
@@ -111,12 +118,7 @@ def _train(shared: Broadcast, start: bytes | None, turn: int, settings: Settings
         for batch in _batched(batches, settings.together):
             docs = []
             for text in batch["text"]:
-                split = _words(text)
-                n = -(-(len(split) + 1) // size)
-                first = (zlib.crc32(text.encode()) + turn * (settings.every // settings.rounds)) % settings.every
-                chosen = range(first, n, settings.every) or [first % n]
-                picked = [w for k in chosen for w in split[k * size : (k + 1) * size]]
-                docs.append(words.tokens(words.places(picked), end=chosen[-1] == n - 1))
+                docs.extend(_parts(words.tokens(words.places(_words(text))), turn, settings))
             seen += model.train(docs, size)
         if seen:
             yield pd.DataFrame({"weights": [model.dump()], "n": [seen]})
