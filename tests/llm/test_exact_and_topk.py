@@ -58,3 +58,19 @@ def test_ties_go_to_the_smaller_id(spark):
 def test_registered_queries_run(spark, data):
     for name in ("op4_exact_dedup", "op8_topk"):
         assert queries.queries()[name](spark, data).count() > 0
+
+
+def test_registered_top_k_leaves_out_vectors_with_non_finite_parts(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(60, 4)).astype(np.float32)
+    good = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    inf = float("inf")
+    bad = [(100, [inf, 1.0, 1.0, 1.0]), (101, [-inf, 1.0, 1.0, 1.0]), (102, [float("nan"), 9.0, 9.0, 9.0]), (103, [None, 9.0, 9.0, 9.0]), (104, None)]
+    folder = str(tmp_path)
+    spark.createDataFrame(good + bad, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    got = queries.op8_topk(spark, folder).toPandas()
+    whole = np.floor(x.astype(float) * 256).astype(int)
+    assert set(got.query_id) == {0, 50}
+    for q in (0, 50):
+        want = sorted((-int(whole[q] @ whole[j]), j) for j in range(60) if j != q)[:5]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(zip(-mine.score, mine.vec_id, strict=True)) == want

@@ -107,7 +107,9 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+    # floor gives a long, in which NaN and the infinities would be whole numbers, so these go first
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(finite).select(
         "vec_id", F.transform("embedding", lambda x: F.floor(x * 256).cast("double")).alias("embedding")
     )
     return topk.exact_topk(vectors.where("vec_id % 50 = 0"), vectors, k=5)
