@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from triplewright.functions import encoder
 from triplewright.operators import retrieval, topics, vectors
+from triplewright.plans.base import vectors as sides
+from triplewright.plans.registry import queries
 
 V = "id long, vec array<double>"
 
@@ -51,6 +55,30 @@ def test_approximate_finds_near_vectors(spark):
     assert (got.query_id == got.item_id).mean() > 0.9
 
 
+def test_approximate_recall_on_the_embeddings_table(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    got = queries()["s51b_approximate_top_k"](spark, folder).toPandas()
+    asked, given = (side.toPandas() for side in sides(spark, folder))
+    q, x = (np.stack(s["vec"].to_numpy()) for s in (asked, given))
+    scores = q @ x.T / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
+    best = given["id"].to_numpy()[np.argsort(-scores, axis=1, kind="stable")[:, :5]]
+    mine = got.groupby("query_id")["item_id"].agg(set).to_dict()
+    assert all(len(mine.get(i, ())) == 5 for i in asked["id"])
+    recall = np.mean([len(mine[i] & set(b)) / 5 for i, b in zip(asked["id"], best.tolist(), strict=True)])
+    print("recall@5", recall)
+    assert recall >= 0.9
+
+
+def test_approximate_fills_queries_that_no_bucket_serves(spark):
+    x = np.random.default_rng(2).normal(size=(40, 8))
+    got = vectors.approximate_top_k(rows(spark, x[:9] + 0.5), rows(spark, x), 3, bucket=1e-6, tables=1).toPandas()
+    want = vectors.top_k(rows(spark, x[:9] + 0.5), rows(spark, x), 3).toPandas()
+    key = ["query_id", "rank"]
+    assert got.sort_values(key)["item_id"].tolist() == want.sort_values(key)["item_id"].tolist() and len(got) == 27
+
+
 def test_bm25_and_fusion(spark):
     docs = spark.createDataFrame([(1, "cat dog"), (2, "dog dog bird"), (3, "fish"), (4, "Cat"), (5, None)], "doc_id long, text string")
     asked = spark.createDataFrame([(7, "CAT dog")], "query_id long, text string")
