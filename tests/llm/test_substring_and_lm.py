@@ -62,8 +62,11 @@ def test_substring_dedup_equals_brute_force(spark):
     rows += [(200, rows[0][1]), (201, rows[0][1].replace(" ", "\n")), (3, None), (4, ""), (5, "short text"), (None, passages[0]), (50, passages[1]), (50, passages[1])]
     rows += [(300, "same " * 40), (301, "same " * 20), (302, " ".join(f"z{i}" for i in range(20_000)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit(1), "shared": F.lit(2), "body": F.lit(3)})
-    for shard, group in ((100_000, 500_000), (50, 60)):
-        got = substring.substring_dedup(docs, 13, 7, shard_words=shard, group_words=group)
+    rows += [(400 + i, f"{passages[i % 2]} {i}") for i in range(1200)]  # enough for anchors to count as hot
+    docs = docs.union(spark.createDataFrame(rows[-1200:], "doc_id long, text string").withColumns({c: F.lit(4) for c in ("h", "shared", "body")}))
+    # key_bits=1 lets most first keys collide; the second 64 bits tell windows apart
+    for shard, group, bits in ((100_000, 500_000, 64), (50, 60, 1)):
+        got = substring.substring_dedup(docs, 13, 7, shard_words=shard, group_words=group, key_bits=bits)
         mine = sorted([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()], key=str)
         assert mine == removed(rows, 13)
     assert substring.substring_dedup(docs.limit(0)).count() == 0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -19,14 +18,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_of(column: str = "text") -> Column:
     """The column's text; null counts as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`"), F.lit(""))
+
+
+def rows_of(docs: DataFrame) -> Column:
+    """The whole row as one struct, so that no name of ours can clash with one of its columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; only where none is named (tests) a temporary one."""
+    """The checkpoint folder that the cluster names; only a local session (tests) may do without one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -38,18 +44,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write wide rows as compressed Parquet in the shared folder and read them again."""
+    """Write rows as compressed Parquet in the shared folder and read them again; plans then know their size."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches of whole documents small, so that a batch of long ones fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

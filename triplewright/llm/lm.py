@@ -13,7 +13,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, stored, text_of
+from .common import stored, text_of
 from .gru import END, UNKNOWN, Gru
 
 
@@ -222,13 +222,11 @@ def score_documents(
     zero. Repeated rows are scored each. Empty table: empty result. Other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
     training = base.where("not held_out").select("text")
 
     counts = stored(training.mapInPandas(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    release(spark)
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
     total, distinct = (whole["n"] or 0) + ends, whole["v"] + int(ends > 0)
