@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -47,6 +48,32 @@ def test_any_text_encodes_as_the_library(library, encoder, text):
     assert encoder.decode(got) == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_encodes_as_the_library(library, encoder):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4000):
+        some = points[at : at + 4000]
+        # between letters, and with marks before and after, where normal forms may reorder or compose
+        text = " ".join(f".{chr(c)}b" for c in some) + " " + " ".join(f"a\u0301{chr(c)}\u0323" for c in some)
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want, hex(some[0])
+
+
+def test_long_words(library, encoder):
+    rng = np.random.default_rng(3)
+    letters = "".join(chr(97 + int(v)) for v in rng.integers(0, 26, 160_000))
+    for word in (letters, "a" * 160_000, "日本" * 20_000, *(letters[:n] for n in (1, 2, 3, 255, 256, 257, 300))):
+        start = time.time()
+        got = np.frombuffer(encoder.encode([word])[0], "<u4").tolist()
+        assert time.time() - start < 10
+        assert got == library.encode(word, add_special_tokens=False).ids
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(min_size=1, max_size=70))
+def test_both_merges_agree(encoder, word):
+    assert encoder._merge_one(word) == encoder.words([word] * bpe.FEW)[0]
+
+
 def test_cache_is_bounded(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 5)
     small = bpe.WordBpe(queries.VOCABULARY)
@@ -119,4 +146,16 @@ def test_packing_is_whole_and_gapless(spark, library):
 def test_registered_queries(spark, data, library):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     check(queries.op3_packing(spark, data).collect(), docs, library, 4096, "ids_crc32")
-    assert queries.op6_bpe(spark, data).count() == len(docs)
+    rows = queries.op6_bpe(spark, data).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = library.encode(docs[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_ids_beyond_doubles_beside_nulls(spark):
+    docs = spark.createDataFrame([(2**53 + 1, "a b"), (None, "c")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in bpe.bpe_digests(docs, queries.VOCABULARY).collect()} == {2**53 + 1, None}
+    assert {r["doc_id"] for r in packing.pack(docs, queries.VOCABULARY).collect()} == {2**53 + 1, None}

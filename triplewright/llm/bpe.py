@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +18,8 @@ from .common import text_of
 NONE = np.iinfo(np.int64).max
 #: Different pieces of text whose encoding a worker remembers.
 CACHE = 500_000
+#: Words of a width below which, and width above which, each word is merged by itself.
+FEW, LONG = 16, 256
 #: The UTF-8 bytes with which characters from U+0300 on begin: marks that combine, case that depends on neighbours.
 FAR = 0xCC
 HIGH = bytes(range(FAR, 256))
@@ -37,6 +38,8 @@ class WordBpe:
 
     def __init__(self, path: str) -> None:
         import regex
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -46,6 +49,8 @@ class WordBpe:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split)
+        # Characters from U+0300 on are normalised and split by the tables of the library itself: Unicode versions differ.
+        self.far, self.normal = Split(Regex(split), "removed", invert=True), Tokenizer.from_file(path).normalizer
         self.inner = np.array([vocab[c] for c in letters], dtype=np.int64)
         self.final = np.array([vocab[c + end] for c in letters], dtype=np.int64)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -54,6 +59,7 @@ class WordBpe:
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         keys = left << 20 | right
         self.rank_of = np.argsort(keys, kind="stable")
+        self.rank_by_pair = {k: i for i, k in enumerate(keys.tolist())}
         self.pair_keys = keys[self.rank_of]
         words = dict(vocab) | self.special
         self.names = [b""] * (max(words.values()) + 1)
@@ -125,6 +131,50 @@ class WordBpe:
             r = r[tree[r, 1] < NONE]
         return ids[alive], alive.sum(axis=1)
 
+    def _merge_one(self, word: bytes) -> bytes:
+        """The ids of one word, its tree a flat list: for long words, and where few have a width."""
+        size, width = len(word), 1 << max(len(word) - 1, 0).bit_length()
+        ids = self.inner[np.frombuffer(word, dtype=np.uint8)].tolist()
+        ids[-1] = int(self.final[word[-1]])
+        rank_of, merged, none = self.rank_by_pair, self.merged, int(NONE)
+        tree = [none] * (2 * width)
+
+        def leaf(left: int, right: int, at: int) -> int:
+            rank = rank_of.get(left << 20 | right)
+            return none if rank is None else rank * width + at
+
+        for i in range(size - 1):
+            tree[width + i] = leaf(ids[i], ids[i + 1], i)
+        for node in range(width - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def point(at: int, value: int) -> None:
+            node = at + width
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                low = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == low:
+                    break
+                tree[node] = low
+
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        alive = bytearray(b"\1" * size)
+        while tree[1] < none and width > 1:
+            rank, at = divmod(tree[1], width)
+            gone, new = after[at], int(merged[rank])
+            then, prior = after[gone], before[at]
+            ids[at], alive[gone], after[at] = new, 0, then
+            point(gone, none)
+            if then < size:
+                before[then] = at
+                point(at, leaf(new, ids[then], at))
+            else:
+                point(at, none)
+            if prior >= 0:
+                point(prior, leaf(ids[prior], new, prior))
+        return np.array([i for i, a in zip(ids, alive, strict=True) if a], dtype="<u4").tobytes()
+
     def words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(words)
@@ -132,6 +182,10 @@ class WordBpe:
         widths = np.left_shift(1, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
         for width in np.unique(widths[sizes > 0]).tolist():
             places = np.flatnonzero((widths == width) & (sizes > 0))
+            if width > 1 and (len(places) < FEW or width > LONG):
+                for i in places.tolist():
+                    out[i] = self._merge_one(words[i])
+                continue
             step = max(1, (1 << 19) // width)
             for at in range(0, len(places), step):
                 some, size = places[at : at + step].tolist(), sizes[places[at : at + step]]
@@ -157,8 +211,7 @@ class WordBpe:
             if text[-1] in ".,!?;:" and text[:-1].isalpha():
                 return [text[:-1].encode(), chunk[-1:]]
         else:
-            text = unicodedata.normalize("NFC", text)
-            text = "".join([c.lower() for c in text])
+            return [p.encode() for p, _ in self.far.pre_tokenize_str(self.normal.normalize_str(text))]
         return [p.encode() for p in self.pieces.findall(text)]
 
     def _learn(self, chunks: set[bytes]) -> None:
@@ -231,37 +284,39 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def grouped(texts: list[str], chars: int = 3_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about so many characters together."""
+def grouped(texts: pa.Array, size: int = 3_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about so many bytes together."""
     start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= chars:
-            yield start, i + 1
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        total += n
+        if total >= size:
+            yield start, i + 1 - start
             start, total = i + 1, 0
     if start < len(texts):
-        yield start, len(texts)
+        yield start, len(texts) - start
 
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode each whole text and decode it again: doc_id, ids (u32 little-endian), decoded.
 
     A null text counts as empty and gives no ids and an empty string. One row out per row in,
-    repeated and null ids too; other columns are not read.
+    repeated and null ids too. A long word takes time by its length times the logarithm of that.
+    Empty table: empty result. Other columns, whatever their names, are not read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            texts = batch["text"].tolist()
-            for a, b in grouped(texts):
-                cut = bpe.chunks(texts[a:b])
+            names, texts = batch.column("doc_id"), batch.column("text")
+            for at, n in grouped(texts):
+                cut = bpe.chunks(texts.slice(at, n).to_pylist())
                 ids = [b"".join(map(bpe.known.__getitem__, c)) for c in cut]
                 shown = [b" ".join([s for s in map(bpe.decode_chunk, c) if s]).decode() for c in cut]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].array, "ids": ids, "decoded": shown})
+                columns = [names.slice(at, n), pa.array(ids, pa.binary()), pa.array(shown, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, ids binary, decoded string"
     )
 
@@ -276,6 +331,3 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,41 +132,39 @@ def pack(
     tokens are left; they go to sequences of 2**k tokens, at most one for each k.
 
     A null or empty text is a document of ``end_id`` alone. Repeated rows and null ids are
-    documents like any other. An empty table gives no pieces. Other columns are not read.
+    documents like any other. An empty table gives no pieces. Other columns, whatever their names, are not read.
     """
     end = end_id.to_bytes(4, "little")
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = bpe.load(path), Packer(capacity)
         base = TaskContext.get().partitionId() << 40
         ids_of: dict[int, tuple] = {}
-        count = 0
+        count, id_type = 0, pa.null()
 
-        def rows() -> pd.DataFrame:
+        def rows() -> pa.RecordBatch:
             out, packer.out = packer.out, []
             doc, start, ids, window, offset = zip(*out, strict=True) if out else ([], [], [], [], [])
-            frame = pd.DataFrame(
-                {
-                    "doc_id": pd.array([ids_of[d][0] for d in doc], dtype="Int64") if kind in ("bigint", "int") else [ids_of[d][0] for d in doc],
-                    "start": np.array(start, dtype=np.int64),
-                    "length": np.array([len(i) // 4 for i in ids], dtype=np.int64),
-                    "ids": list(ids),
-                    "doc_tokens": np.array([ids_of[d][1] for d in doc], dtype=np.int64),
-                    "sequence_id": np.array(window, dtype=np.int64) + base,
-                    "offset": np.array(offset, dtype=np.int64),
-                }
-            )
+            columns = {
+                "doc_id": pa.array([ids_of[d][0] for d in doc], type=id_type),
+                "start": pa.array(start, pa.int64()),
+                "length": pa.array([len(i) // 4 for i in ids], pa.int64()),
+                "ids": pa.array(ids, pa.binary()),
+                "doc_tokens": pa.array([ids_of[d][1] for d in doc], pa.int64()),
+                "sequence_id": pa.array([base + w for w in window], pa.int64()),
+                "offset": pa.array(offset, pa.int64()),
+            }
             held = {p[0] for stack in packer.pool.values() for p in stack}
             for d in [d for d in ids_of if d not in held]:
                 del ids_of[d]
-            return frame
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            texts = batch["text"].tolist()
-            names = [None if pd.isna(x) else x for x in batch["doc_id"].tolist()]
-            for a, b in bpe.grouped(texts):
-                for name, ids in zip(names[a:b], encoder.encode(texts[a:b]), strict=True):
+            names, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            id_type = batch.column("doc_id").type
+            for at, n in bpe.grouped(texts):
+                for name, ids in zip(names[at : at + n], encoder.encode(texts.slice(at, n).to_pylist()), strict=True):
                     ids_of[count] = (name, len(ids) // 4 + 1)
                     packer.add(count, ids + end)
                     count += 1
@@ -175,9 +172,10 @@ def pack(
                 if packer.out:
                     yield rows()
         packer.flush()
-        yield rows()
+        if packer.out:
+            yield rows()
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(
         run,
         f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
     )

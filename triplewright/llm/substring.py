@@ -250,9 +250,11 @@ def _cut(window: int) -> Callable:
 def _match(window: int) -> Callable:
     def run(passages: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         automaton = SuffixAutomaton(w.encode().split() for w in passages["passage"].drop_duplicates())
-        out = []
+        out, known = [], {}
         for doc, part, start, words in zip(runs["doc"], runs["part"], runs["start"], runs["words"], strict=True):
-            out += [(doc, part, start + a, start + b) for a, b in automaton.spans(words.encode().split(), window)]
+            if words not in known:
+                known[words] = automaton.spans(words.encode().split(), window)
+            out += [(doc, part, start + a, start + b) for a, b in known[words]]
         return pd.DataFrame(out, columns=["doc", "part", "start", "stop"]).astype("int64")
 
     return run
@@ -303,7 +305,7 @@ def substring_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     shard_words: int = 100_000,
-    group_words: int = 500_000,
+    group_words: int = 100_000,
     sample_docs: int = 5_000,
     key_bits: int = 64,
     texts: bool = True,
