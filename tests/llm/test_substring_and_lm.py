@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from triplewright.llm import lm, queries, substring
 from triplewright.llm.automaton import SuffixAutomaton
-from triplewright.llm.gru import END, Gru
+from triplewright.llm.gru import END, Gru, lanes
 
 words = st.lists(st.sampled_from("abc"), max_size=12)
 
@@ -82,23 +82,60 @@ def test_registered_substring_query(spark, data):
 # ---- language model
 
 
+def plain(g: Gru, docs: list) -> list[float]:
+    """Log-likelihoods token by token, gates and softmax written out."""
+    p, n, out = {k: v.astype(np.float64) for k, v in g.p.items()}, g.hidden, []
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for doc in docs:
+        h, x, total = np.zeros(n), END, 0.0
+        for y in doc:
+            a, u = p["input"][x], h @ p["state"]
+            z, r = 1 / (1 + np.exp(-(a[:n] + u[:n]))), 1 / (1 + np.exp(-(a[n : 2 * n] + u[n : 2 * n])))
+            c = np.tanh(a[2 * n :] + r * u[2 * n :])
+            h = (1 - z) * c + z * h
+            k, w = divmod(int(y), g.per_class)
+            whole = np.concatenate([softmax(h @ p["class_w"] + p["class_b"])[i] * softmax(p["word_w"][i] @ h + p["word_b"][i]) for i in range(len(p["class_b"]))])
+            assert abs(whole.sum() - 1) < 1e-9
+            total += np.log(whole[k * g.per_class + w])
+            x = y
+        out.append(total)
+    return out
+
+
+def documents_of(rng, sizes):
+    return [np.append(rng.integers(1, 20, n - 1), END) for n in sizes]
+
+
+def test_lanes_hold_every_document_in_its_order():
+    docs = documents_of(np.random.default_rng(3), (5, 1, 17, 3, 40, 2, 9, 8))
+    for streams, steps in ((1, 4), (3, 4), (20, 7), (2, 100)):
+        seen: dict = {}
+        done: list = []
+        for y, k, _, ended in lanes(docs, streams, steps):
+            for lane in range(y.shape[1]):
+                for t, number in zip(y[:, lane].tolist(), k[:, lane].tolist(), strict=True):
+                    if number >= 0:
+                        assert number not in done
+                        seen.setdefault(number, []).append(t)
+            done += ended
+        assert sorted(done) == list(range(len(docs))) and [seen[i] for i in range(len(docs))] == [d.tolist() for d in docs]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     g = Gru(np.arange(20, 0, -1), 5, 4)
     g.p = {k: v.astype(np.float64) for k, v in g.p.items()}
-    y = rng.integers(0, 20, (6, 3))
-    y[4:, 2] = -1
+    y = rng.integers(1, 20, (6, 3))
+    y[4:, 2], y[2, 1] = -1, END  # a lane that runs out, and one with the end of a document inside
 
     def loss():
-        h, x, total = np.zeros((3, 5)), np.full(3, END), 0.0
-        for t in range(6):
-            h = g.step(x, h)[0]
-            i = y[t] >= 0
-            total -= g.log_probs(h[i], y[t][i]).sum()
-            x = np.where(i, y[t], END)
+        total = 0.0
+        for lane in y.T:
+            at = [i + 1 for i, t in enumerate(lane) if t == END]
+            total -= sum(plain(g, [d[d >= 0] for d in np.split(lane, at)]))
         return total / (y >= 0).sum()
 
-    grads, _, _ = g._window(y, np.zeros((3, 5)), np.full(3, END))
+    grads, _, _ = g._window(y, np.zeros((5, 3)), np.full(3, END))
     for k in g.p:
         at = (int(y[1, 0]), 2) if k == "input" else tuple(int(rng.integers(0, s)) for s in g.p[k].shape)
         old = g.p[k][at]
@@ -111,16 +148,15 @@ def test_gradients():
 
 
 def test_state_goes_through_the_whole_document():
-    g = Gru(np.arange(30, 0, -1), 6, 5)
-    rng = np.random.default_rng(1)
-    docs = [rng.integers(0, 30, n) for n in (70, 1, 33, 0, 70)]
-    whole = g.score(docs, window=100)
-    assert np.allclose(whole, g.score(docs, window=7), atol=1e-3)
-    assert np.allclose(whole[0], g.score([docs[0]])[0], atol=1e-3)
-    logs = [g.log_probs(np.ones((1, 6), dtype=np.float32), np.array([i]))[0] for i in range(30)]
-    assert abs(np.exp(logs).sum() - 1) < 1e-3
-    again = Gru(np.arange(30, 0, -1), 6, 5, seed=99).load(g.dump())
-    assert np.allclose(whole, again.score(docs, window=100))
+    g = Gru(np.arange(20, 0, -1), 6, 5)
+    docs = documents_of(np.random.default_rng(1), (70, 1, 33, 2, 70))
+    g.train(docs * 3, 8, 4)
+    want = plain(g, docs)
+    for window, streams in ((100, 8), (7, 2), (32, 1)):
+        got = dict(g.score(docs, window, streams))
+        assert np.allclose([got[i] for i in range(len(docs))], want, atol=1e-3)
+    again = Gru(np.arange(20, 0, -1), 6, 5, seed=99).load(g.dump())
+    assert dict(again.score(docs)) == dict(g.score(docs))
 
 
 def test_scores(spark):
@@ -137,7 +173,7 @@ def test_scores(spark):
             c.update((t or "").encode().lower().split())
             ends += 1
     total, distinct = sum(c.values()) + ends, len(c) + 1
-    for settings_ in (lm.Settings(dictionary=4, tokens=5, per_class=2, hidden=4, every=2), lm.Settings(per_class=4, tokens=16, hidden=8, every=1, rounds=3)):
+    for settings_ in (lm.Settings(dictionary=4, tokens=5, per_class=2, hidden=4, streams=3), lm.Settings(per_class=4, tokens=16, hidden=8, rounds=3, streams=8)):
         got = lm.score_documents(docs, settings_).collect()
         assert len(got) == len(rows)
         by_id: dict = {}
@@ -163,19 +199,24 @@ def test_registered_lm_query(spark, data):
     assert got.count() == spark.read.parquet(f"{data}/documents.parquet").count()
 
 
-def test_each_round_trains_on_whole_documents_in_order(monkeypatch):
+def test_every_window_of_every_document_is_trained_on():
     texts = [" ".join("abc"[(i * i + n) % 3] for i in range(n)) for n in (0, 3, 16, 40, 700)]
     c = Counter(w for t in texts for w in t.encode().split())
     words = b"\n".join(w for w, _ in c.most_common())
     counts = np.array([n for _, n in c.most_common()])
     shared = SimpleNamespace(value=(words, counts, sum(c.values()) + len(texts), len(c) + 1, len(texts)))
-    held = lm.Dictionary(*shared.value, lm.Settings())
-    want = [held.tokens(held.places(t.encode().split())).tolist() for t in texts]
-    seen: list = []
-    train = Gru.train
-    monkeypatch.setattr(Gru, "train", lambda self, docs, *a, **b: seen.extend(docs) or train(self, docs, *a, **b))
-    for turn in range(lm.Settings().rounds):
-        seen.clear()
-        out = pd.concat(lm._train(shared, None, turn, lm.Settings())(iter([pd.DataFrame({"text": texts})])))
-        assert [d.tolist() for d in seen] == want
-        assert out["n"].sum() == sum(map(len, want))
+    out = pd.concat(lm._train(shared, None, lm.Settings(together=50))(iter([pd.DataFrame({"text": texts})])))
+    assert out["n"].sum() == sum(len(t.split()) + 1 for t in texts)
+
+
+def test_dictionary_is_full_whatever_the_counts(spark):
+    counts = spark.createDataFrame([(f"w{i:02}", 7) for i in range(30)] + [("top", 100)], "word string, n long")
+    for most in (1, 10, 31, 50):
+        words, n = lm._frequent(counts, most)
+        assert words.split(b"\n") == [b"top", *(f"w{i:02}".encode() for i in range(30))][:most] and len(n) == min(most, 31)
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    folder = "/root/testdata/sf0.01"
+    got = queries.op7_language_model(spark, folder).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got["s"] > 0.98 * got["b"]

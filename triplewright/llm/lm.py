@@ -9,9 +9,11 @@ from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stored, text_of
 from .gru import END, UNKNOWN, Gru
@@ -23,23 +25,24 @@ class Settings:
 
     dictionary: most frequent words whose counts every worker holds; others are joined by word.
     tokens: those of the recurrent model, the most frequent words, the end and one for all others.
-    every: 1 trains on every window of every training document. Above 1, for trials only, each
-        window is used in one round of so many, and the state starts anew after a gap.
+    window: steps of truncated backpropagation; the state goes on from window to window.
+    rounds: how often every window of every training document is used.
+    streams: documents side by side. together: tokens that a task holds and orders by length for that.
     """
 
     dictionary: int = 200_000
     tokens: int = 1024
     per_class: int = 32
-    hidden: int = 24
+    hidden: int = 16
     window: int = 16
-    every: int = 1
-    rounds: int = 2
-    together: int = 2000
+    rounds: int = 1
+    streams: int = 256
+    together: int = 4_000_000
 
 
 def held_out(id_col: str) -> Column:
     """Whether the CRC-32 of the id as text leaves 2 modulo 7; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
 def _words(text: str) -> list[bytes]:
@@ -88,38 +91,35 @@ def _dictionary(shared: Broadcast, settings: Settings) -> Dictionary:
     return _held[key]
 
 
-def _batched(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """Batches of about so many rows, for recurrences side by side."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(map(len, held)) >= rows:
-            yield pd.concat(held, ignore_index=True)
-            held = []
-    if held:
-        yield pd.concat(held, ignore_index=True)
+def _together(batches: Iterator[pd.DataFrame], words: Dictionary, settings: Settings, each) -> Iterator[list]:
+    """Lists of (row, token ids) of about ``together`` tokens; long ones come first, so that none runs on alone at the end."""
 
+    def ordered(held: list, size: int) -> list:
+        long = size // (2 * settings.streams)
+        return sorted(held, key=lambda x: -max(len(x[1]) - long, 0))
 
-def _parts(ids: np.ndarray, turn: int, settings: Settings) -> list[np.ndarray]:
-    """What a round trains on of a document: all of it in its own order, or its windows of that round."""
-    if settings.every == 1:
-        return [ids]
-    size, n = settings.window, -(-len(ids) // settings.window)
-    first = turn % min(settings.every, n)
-    return [ids[k * size : (k + 1) * size] for k in range(first, n, settings.every)]
+    held, size = [], 0
+    for batch in batches:
+        for row, text in each(batch):
+            split = _words(text)
+            places = words.places(split)
+            held.append((row(split, places) if row else None, words.tokens(places).astype(np.int32)))
+            size += len(places) + 1
+            if size >= settings.together:
+                yield ordered(held, size)
+                held, size = [], 0
+    if held:
+        yield ordered(held, size)
 
 
-def _train(shared: Broadcast, start: bytes | None, turn: int, settings: Settings):
+def _train(shared: Broadcast, start: bytes | None, settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, size, seen = _dictionary(shared, settings), settings.window, 0
+        words, seen = _dictionary(shared, settings), 0
         model = Gru(words.counts, settings.hidden, settings.per_class)
         if start:
             model.load(start)
-        for batch in _batched(batches, settings.together):
-            docs = []
-            for text in batch["text"]:
-                docs.extend(_parts(words.tokens(words.places(_words(text))), turn, settings))
-            seen += model.train(docs, size)
+        for docs in _together(batches, words, settings, lambda batch: ((None, t) for t in batch["text"])):
+            seen += model.train([ids for _, ids in docs], settings.window, settings.streams)
         if seen:
             yield pd.DataFrame({"weights": [model.dump()], "n": [seen]})
 
@@ -139,20 +139,22 @@ def _average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _frequent(counts: DataFrame, most: int) -> tuple[bytes, np.ndarray]:
     """The most frequent words, at most ``most``, by falling count, and their counts.
 
-    A histogram of counts, eight bins to a doubling, gives the least count that fits; words from
-    there on come to the driver, so never more than ``most``.
+    A histogram of counts, eight bins to a doubling, gives the least count that fits; words from there on, and of
+    the next bin as many as there is room for, come to the driver, so never more than ``most``.
     """
     place = F.floor(F.log2("n") * 8)
     bins = sorted(counts.groupBy(place.alias("bin")).count().collect(), key=lambda r: -r["bin"])
     held, least = 0, None
     for r in bins:
-        held += r["count"]
-        if held > most:
+        if held + r["count"] > most:
             break
-        least = r["bin"]
-    if least is None:
-        return b"", np.zeros(0, dtype=np.int64)
-    top = counts.where(place >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+        held, least = held + r["count"], r["bin"]
+    # the bin that does not fit as a whole fills up what is left, by count and word
+    over = counts.where(place < least) if least is not None else counts
+    top = over.orderBy(F.desc("n"), "word").limit(most - held)
+    if least is not None:
+        top = top.union(counts.where(place >= least))
+    top = top.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     words = b"\n".join(w.encode() for w in top["word"].to_pylist())
     return words, top["n"].to_numpy().astype(np.int64)
 
@@ -160,48 +162,54 @@ def _frequent(counts: DataFrame, most: int) -> tuple[bytes, np.ndarray]:
 def fit(training: DataFrame, shared: Broadcast, settings: Settings, merges: int = 8) -> bytes:
     """Weights of the recurrent model.
 
-    In each round every task trains a copy on its documents' windows, and copies are averaged by
+    In each round every task trains a copy on all windows of its documents, and copies are averaged by
     their tokens, first in ``merges`` tasks, then here: the driver gets ``merges`` models.
     """
     weights = None
-    for turn in range(settings.rounds):
-        models = training.mapInPandas(_train(shared, weights, turn, settings), "weights binary, n long")
+    for _ in range(settings.rounds):
+        models = training.mapInPandas(_train(shared, weights, settings), "weights binary, n long")
         parts = [r.asDict() for r in models.repartition(merges).mapInPandas(_average, "weights binary, n long").collect()]
         merged = list(_average(iter([pd.DataFrame(sorted(parts, key=lambda r: r["weights"]), columns=["weights", "n"])])))
         weights = merged[0]["weights"].iloc[0] if merged else weights
     return weights or b""
 
 
-def _score(shared: Broadcast, weights: bytes, settings: Settings):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+NAMES = ["doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"]
+
+
+def _score(shared: Broadcast, weights: bytes, settings: Settings, id_type: pa.DataType):
+    types = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _dictionary(shared, settings)
         model = Gru(words.counts, settings.hidden, settings.per_class)
         if weights:
             model.load(weights)
-        for batch in _batched(batches, settings.together):
-            ids, base, known, outside, rare = [], [], [], [], []
-            for text in batch["text"]:
-                split = _words(text)
-                places = words.places(split)
+
+        def row(name, held: bool):
+            def of(split: list[bytes], places: np.ndarray) -> tuple:
                 inside = places >= 0
                 shares = words.shares[places[inside]]
-                ids.append(words.tokens(places))
-                base.append(float(shares.sum()) + words.end)
-                known.append(int(inside.sum()) + words.end_known)
-                outside.append(float(shares[places[inside] >= words.top].sum()) - int((ids[-1] == UNKNOWN).sum()) * words.rest)
-                rare.append([w.decode() for w in compress(split, (~inside).tolist())])
-            logs = model.score(ids) / np.log(10)
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "held_out": batch["held_out"],
-                    "n_tokens": [len(i) for i in ids],
-                    "known": known,
-                    "base": base,
-                    "model": logs + np.array(outside),
-                    "rare": rare,
-                }
-            )
+                far = shares[places[inside] >= words.top]
+                outside = float(far.sum()) - (len(far) + int((~inside).sum())) * words.rest
+                rare = [w.decode() for w in compress(split, (~inside).tolist())]
+                known = int(inside.sum()) + words.end_known
+                return name, held, len(split) + 1, known, float(shares.sum()) + words.end, outside, rare
+
+            return of
+
+        def each(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for name, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
+                yield row(name, held), text
+
+        for docs in _together(batches, words, settings, each):
+            found = list(model.score(ids for _, ids in docs))
+            for at in range(0, len(found), 10_000):
+                rows = []
+                for number, log in found[at : at + 10_000]:
+                    *start, outside, rare = docs[number][0]
+                    rows.append((*start, log / np.log(10) + outside, rare))
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=NAMES)
 
     return run
 
@@ -223,7 +231,7 @@ def score_documents(
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
     training = base.where("not held_out").select("text")
 
     counts = stored(training.mapInPandas(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -234,8 +242,8 @@ def score_documents(
     weights = fit(training, shared, settings)
 
     scored = stored(
-        base.mapInPandas(
-            _score(shared, weights, settings),
+        base.mapInArrow(
+            _score(shared, weights, settings, to_arrow_type(docs.schema[id_col].dataType)),
             f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, rare array<string>",
         ).withColumn("row", F.monotonically_increasing_id())
     )
