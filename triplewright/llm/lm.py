@@ -136,25 +136,28 @@ def _average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"weights": [(total / n).astype(np.float32).tobytes()], "n": [n]})
 
 
-def _frequent(counts: DataFrame, most: int) -> tuple[bytes, np.ndarray]:
+def _frequent(counts: DataFrame, most: int, buckets: int = 1024) -> tuple[bytes, np.ndarray]:
     """The most frequent words, at most ``most``, by falling count, and their counts.
 
-    A histogram of counts, eight bins to a doubling, gives the least count that fits; words from there on, and of
-    the next bin as many as there is room for, come to the driver, so never more than ``most``.
+    Two histograms, of bounded size, say which words fit: one of counts, eight bins to a doubling, and of the bin that
+    does not fit as a whole one of counts and ``buckets`` parts of the words by hash. Only the words that fit come to the driver.
     """
     place = F.floor(F.log2("n") * 8)
-    bins = sorted(counts.groupBy(place.alias("bin")).count().collect(), key=lambda r: -r["bin"])
-    held, least = 0, None
-    for r in bins:
-        if held + r["count"] > most:
+    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets))
+    fits, left, over = F.lit(False), most, None
+    for r in sorted(counts.groupBy(place.alias("bin")).count().collect(), key=lambda r: -r["bin"]):
+        if r["count"] > left:
+            over = r["bin"]
             break
-        held, least = held + r["count"], r["bin"]
-    # the bin that does not fit as a whole fills up what is left, by count and word
-    over = counts.where(place < least) if least is not None else counts
-    top = over.orderBy(F.desc("n"), "word").limit(most - held)
-    if least is not None:
-        top = top.union(counts.where(place >= least))
-    top = top.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+        fits, left = place >= r["bin"], left - r["count"]
+    if over is not None:
+        parts = counts.where(place == over).groupBy("n", bucket.alias("part")).count().collect()
+        for r in sorted(parts, key=lambda r: (-r["n"], r["part"])):
+            if r["count"] > left:
+                break
+            last, left = r, left - r["count"]
+            fits = (place > over) | (F.col("n") > last["n"]) | ((F.col("n") == last["n"]) & (bucket <= last["part"]))
+    top = counts.where(fits).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     words = b"\n".join(w.encode() for w in top["word"].to_pylist())
     return words, top["n"].to_numpy().astype(np.int64)
 
