@@ -26,6 +26,11 @@ def rows_of(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def part_of(id_col: str, text_col: str) -> Column:
+    """Tells rows without id apart by their text, so that they don't all meet in one place; '' for others."""
+    return F.when(F.col(f"`{id_col}`").isNull(), F.md5(text_of(text_col).cast("binary"))).otherwise(F.lit(""))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names; only a local session (tests) may do without one."""
     context = spark.sparkContext

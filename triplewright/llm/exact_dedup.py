@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, text_of
+from .common import BLANKS, stored, text_of
 
 
 def exact_dedup(
@@ -18,57 +18,40 @@ def exact_dedup(
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of blanks (0x20, 0x09-0x0D) is replaced by one
-    space. Lengths that occur once leave first; the others are split by a hash of their first
-    ``prefix_chars`` characters; only groups that survive both get a hash of their whole text.
+    space. Lengths that occur once leave first; of the others the first ``prefix_chars`` characters are
+    hashed, and rows whose length and prefix occur once leave; only what survives both is grouped by a hash of
+    the whole text. What goes from row to row is a length, a prefix or a digest: with ``digest_all`` no whole text is moved.
 
     The row with the smallest id stays. A null text counts as empty. A null id never beats
     another; if all ids of a group are null, keep_id is null and one row stays. Of rows that
-    share both id and text, one stays. An empty table gives an empty result. Other columns of
-    ``docs`` are not read. ``text_sha256`` is null for rows outside the surviving groups, unless
-    ``digest_all`` asks for the digest of every row.
+    share both id and text, one stays. Very long texts are hashed whole. An empty table gives an empty result.
+    Other columns of ``docs``, whatever their names, are not read. ``text_sha256`` is null for rows outside the
+    surviving groups, unless ``digest_all`` asks for the digest of every row.
     """
     base = docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(f"`{id_col}`").alias("doc_id"),
         F.regexp_replace(text_of(text_col), BLANKS, " ").alias("body"),
-    )
-    base = base.withColumns(
-        {"n": F.length("body"), "prefix": F.xxhash64(F.substring("body", 1, prefix_chars))}
-    )
-    narrow = materialize(base.select("n", "prefix"))
-    lengths = narrow.groupBy("n").count().where("count > 1").select("n")
-    pairs = narrow.groupBy("n", "prefix").count().where("count > 1")
-    suspects = pairs.join(lengths, "n", "left_semi").select("n", "prefix", F.lit(True).alias("suspect"))
-    # AQE broadcasts the suspects when their measured size allows; else both sides are dealt by
-    # the key and a hot key's partition is split.
-    wanted = F.lit(True) if digest_all else F.col("suspect")
-    hashed = materialize(
-        base.join(suspects, ["n", "prefix"], "left").select(
-            "doc_id",
-            "n",
-            F.coalesce("suspect", F.lit(False)).alias("suspect"),
-            F.when(wanted, F.sha2("body", 256)).alias("text_sha256"),
-        )
-    )
-    copies = hashed.where("suspect").groupBy("n", "text_sha256", "doc_id").agg(F.count("*").alias("copies"))
-    groups = materialize(  # a written side lets Spark split a hot group on the other
-        copies.groupBy("n", "text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    )
-    repeated = (
-        copies.join(groups, ["n", "text_sha256"])
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-            "text_sha256",
-        )
-    )
-    single = hashed.where("not suspect").select(
+    ).withColumn("n", F.length("body"))
+    lengths = stored(base.groupBy("n").count().where("count > 1").select("n"))
+    heads = base.select("n", F.substring("body", 1, prefix_chars).alias("head")).join(lengths, "n", "left_semi")
+    heads = heads.groupBy("n", F.xxhash64("head").alias("prefix")).count().where("count > 1")
+    suspects = stored(heads.select("n", "prefix", F.lit(True).alias("suspect")))
+    rows = base.withColumn("prefix", F.xxhash64(F.substring("body", 1, prefix_chars)))
+    whole = F.sha2("body", 256)
+    if digest_all:
+        rows = rows.select("doc_id", "n", "prefix", whole.alias("text_sha256")).join(suspects, ["n", "prefix"], "left")
+    else:
+        rows = rows.join(suspects, ["n", "prefix"], "left").withColumn("text_sha256", F.when(F.col("suspect"), whole))
+    suspect = F.coalesce("suspect", F.lit(False)).alias("suspect")
+    hashed = stored(rows.select("doc_id", "n", suspect, "text_sha256", F.monotonically_increasing_id().alias("row")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("first")
+    groups = hashed.where("suspect").groupBy("n", "text_sha256").agg(first, F.count("*").alias("size")).where("size > 1")
+    # a written side lets Spark split a hot group on the other
+    found = hashed.join(stored(groups), ["n", "text_sha256"], "left")
+    return found.select(
         "doc_id",
-        F.col("doc_id").alias("keep_id"),
-        F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"),
+        F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(F.col("row") == F.col("first.row"), F.lit(True)).alias("kept"),
         "text_sha256",
     )
-    return repeated.unionByName(single)
