@@ -16,29 +16,29 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = quality.classify(documents(spark, sf_dir), labels)
+    found = quality.classify(documents(spark, sf_dir), labels, carry=["doc_id"])
     return found.select(
-        "doc_id",
-        F.col("__doc").alias("doc_probability"),
-        F.col("__host").alias("host_posterior"),
-        F.col("__path").alias("path_posterior"),
-        F.col("__score").alias("score"),
-        F.col("__keep").alias("keep"),
+        "row.doc_id",
+        F.col("doc").alias("doc_probability"),
+        F.col("host").alias("host_posterior"),
+        F.col("path").alias("path_posterior"),
+        "score",
+        "keep",
     )
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = secret_scan.BASE + secret_scan.MORE
-    found = secret_scan.secret_scan(documents(spark, sf_dir), rules)
-    count = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long")
-    base = F.filter("__spans", lambda s: s["kind"] < len(secret_scan.BASE))
+    found = secret_scan.secret_scan(documents(spark, sf_dir).select("doc_id", "text"), rules)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE))
     return found.select(
-        "doc_id",
+        "row.doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
         F.sha2(secret_scan.joined(base, rules), 256).alias("base_sha256"),
-        secret_scan.joined(F.col("__spans"), rules).alias("spans"),
+        secret_scan.joined(F.col("spans"), rules).alias("spans"),
     )
 
 
@@ -134,10 +134,10 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(documents(spark, sf_dir)).select(
-        "doc_id",
-        F.col("__lines").alias("n_lines"),
-        F.col("__removed").alias("n_removed"),
+    return line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text", "source")).select(
+        "row.doc_id",
+        F.col("lines").alias("n_lines"),
+        F.col("removed").alias("n_removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
 

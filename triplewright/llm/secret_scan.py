@@ -10,7 +10,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import part_of, rows_of, stored, text_of
 
 
 @dataclass(frozen=True)
@@ -103,10 +103,17 @@ def trigram_query(pattern: str) -> list[list[Clause]]:
     return _need(strings) if strings is not None else need
 
 
+def trigrams(text: Column, grams: list[str]) -> Column:
+    """Places in ``grams`` of those that a text holds, its letters in lower case once for all of them."""
+    held = lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), i) for i, g in enumerate(grams)]))
+    return F.get(F.transform(F.array(F.lower(text)), held), F.lit(0))
+
+
 def candidates(docs: DataFrame, queries: dict[int, list[list[Clause]]]) -> DataFrame:
-    """(doc_id, rules): by doc_id, a bit for each rule whose query the posting lists satisfy.
+    """(doc_id, part, rules): by doc_id and part, a bit for each rule whose query the posting lists satisfy.
 
-    The index holds the trigrams that some query names. ``docs``: doc_id, text.
+    The index holds the trigrams that some query names; it is written before its lists are intersected, so that each
+    text is looked through once. ``docs``: doc_id, part, text.
     """
     spark = docs.sparkSession
     grams = sorted({g for q in queries.values() for group in q for clause in group for g in clause})
@@ -118,27 +125,24 @@ def candidates(docs: DataFrame, queries: dict[int, list[list[Clause]]]) -> DataF
         for clause, grams_of in enumerate(clauses)
         for bit, g in enumerate(sorted(grams_of))
     ]
-    asked = spark.createDataFrame(terms, "gram int, rule int, part int, clause int, bit long, full long")
+    asked = spark.createDataFrame(terms, "gram int, rule int, step int, clause int, bit long, full long")
     need = [(rule, (1 << len(query)) - 1) for rule, query in queries.items()]
-    parts = spark.createDataFrame(need, "rule int, parts long")
-    lower = docs.select("doc_id", F.lower("text").alias("low"))
-    held = lower.select(
-        "doc_id", F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), i) for g, i in place.items()])).alias("grams")
-    )
-    postings = held.select("doc_id", F.explode("grams").alias("gram"))
+    parts = spark.createDataFrame(need, "rule int, steps long")
+    index = stored(docs.select("doc_id", "part", trigrams(F.col("text"), grams).alias("grams")))
+    postings = index.select("doc_id", "part", F.explode("grams").alias("gram"))
     met = (
         postings.join(F.broadcast(asked), "gram")  # a row per trigram of the fixed rules
-        .groupBy("doc_id", "rule", "part", "clause", "full")
+        .groupBy("doc_id", "part", "rule", "step", "clause", "full")
         .agg(F.bit_or("bit").alias("bits"))
         .where("bits = full")
     )
     one = F.lit(1).cast("long")
     return (
-        met.groupBy("doc_id", "rule")
-        .agg(F.bit_or(F.call_function("shiftleft", one, F.col("part"))).alias("got"))
+        met.groupBy("doc_id", "part", "rule")
+        .agg(F.bit_or(F.call_function("shiftleft", one, F.col("step"))).alias("got"))
         .join(F.broadcast(parts), "rule")
-        .where("got = parts")
-        .groupBy("doc_id")
+        .where("got = steps")
+        .groupBy("doc_id", "part")
         .agg(F.bit_or(F.call_function("shiftleft", one, F.col("rule"))).alias("rules"))
     )
 
@@ -172,26 +176,28 @@ def secret_scan(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``docs`` with __spans: array<struct<start, kind, end>>, by start, then the rules' order.
+    """row (the columns of ``docs``), text, spans: array<struct<start, kind, end>>, by start, then the rules' order.
 
     Rules with mandatory trigrams are verified only in documents that the index leaves; rules
     without any scan every text. Matches of one kind are the leftmost that don't overlap; one whose
-    counted group is too short is dropped after it has been found.
+    counted group is too short is dropped after it has been found. The candidates are written before the texts meet them,
+    so that Spark knows their size and moves no text where they are few.
 
-    A null text counts as empty and gives no spans. Documents that share an id, or have none, are
-    candidates together, but each is verified in its own text. Other columns pass through.
+    A null text counts as empty and gives no spans. Documents that share an id, and equal ones without any, are
+    candidates together, but each is verified in its own text. Columns of any name stay in ``row``. Very long texts are scanned whole. Empty table: empty result.
     """
     queries = {i: q for i, rule in enumerate(rules) if (q := trigram_query(rule.pattern))}
-    base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    found = candidates(base, queries).select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules"))
-    marked = docs.join(found, docs[id_col].eqNullSafe(found["__id"]), "left").drop("__id")
-    text = text_of(text_col)
+    named = F.col(f"`{id_col}`").alias("doc_id"), part_of(id_col, text_col).alias("part"), text_of(text_col).alias("text")
+    base = docs.select(*named, rows_of(docs).alias("row"))
+    found = stored(candidates(docs.select(*named), queries).withColumnsRenamed({"doc_id": "of", "part": "of_part"}))
+    marked = base.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")), "left")
+    text = F.col("text")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     spans = []
     for i, rule in enumerate(rules):
-        named = F.coalesce(F.col("__rules"), F.lit(0)).bitwiseAND(1 << i) != 0 if i in queries else F.lit(True)
+        named = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(1 << i) != 0 if i in queries else F.lit(True)
         spans.append(F.when(named & F.rlike(text, F.lit(rule.pattern)), _spans(text, rule, i)).otherwise(none))
-    return marked.withColumn("__spans", F.array_sort(reduce(lambda a, b: F.concat(a, b), spans))).drop("__rules")
+    return marked.select("row", "text", F.array_sort(reduce(lambda a, b: F.concat(a, b), spans)).alias("spans"))
 
 
 def joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -201,19 +207,13 @@ def joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(text, ",")
 
 
-def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Put *** in place of each span that secret_scan found; overlapping spans become one.
-
-    A null text stays null; __spans is dropped.
-    """
+def masked() -> Column:
+    """Of secret_scan's rows the text with *** in place of each span; overlapping spans become one."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"])
+        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit("***"))).otherwise(acc["out"])
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    masked = F.aggregate(
-        "__spans", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1))
-    )
-    return docs.withColumn(text_col, F.when(F.size("__spans") > 0, masked).otherwise(F.col(text_col))).drop("__spans")
+    return F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
