@@ -3,11 +3,15 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from triplewright.llm import line_dedup, quality, queries, secret_scan
 
+CLASHING = ("row", "text2", "part", "of", "of_part", "line", "lines", "site", "found", "gone", "kept", "removed", "__id", "__h", "__p", "__path")
+CLASHING += ("__rules", "__gone", "__spans", "__key", "rules", "spans", "grams", "h", "p", "doc", "host", "path", "score", "keep", "odds", "a.b")
+
 # ---- lines
 
 
@@ -17,7 +21,7 @@ def test_line_dedup_equals_brute_force(spark):
         body = ["shared line " if i % 2 else "\tshared line", f"own {i}", "", "near" if i < 3 else f"x{i}", "edge" if i < 4 else f"y{i}"]
         rows.append((i + 10, "\n".join(body), f"s{i % 6}"))
     rows += [(5, "shared line\nshared line", "s0"), (6, None, "s1"), (None, "shared line\nz", None), (7, "", None), (8, "\n".join(f"long {i}" for i in range(3000)), "s1")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"line": F.lit(1), "site": F.lit(2), "found": F.lit(3)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({n: F.lit(1) for n in CLASHING})
     sites, first = {}, {}
     for i, t, s in rows:
         for x in (t or "").split("\n"):
@@ -32,9 +36,9 @@ def test_line_dedup_equals_brute_force(spark):
             kept = [x for x in (t or "").split("\n") if len(sites.get(x.strip(" \t\n\x0b\f\r"), ())) < least or first[x.strip(" \t\n\x0b\f\r")] == i]
             want.append((i, "\n".join(kept) if t is not None else None, s, len((t or "").split("\n")) - len(kept)))
         key = lambda r: (r[0] is None, r[0] or 0)
-        assert sorted([(r["doc_id"], r["text"], r["source"], r["__removed"]) for r in got], key=key) == sorted(want, key=key)
+        assert sorted([(r["row"]["doc_id"], r["text"], r["row"]["source"], r["removed"]) for r in got], key=key) == sorted(want, key=key)
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
-    assert "line" in line_dedup.line_dedup(docs).columns
+    assert line_dedup.line_dedup(docs).select("row.*").columns == docs.columns
 
 
 # ---- secrets
@@ -77,16 +81,23 @@ def test_trigram_queries():
 def test_scan_equals_regex(spark):
     rules = secret_scan.BASE + secret_scan.MORE
     rows = [*enumerate(TEXTS), (None, TEXTS[0]), (0, TEXTS[4])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rules": F.lit("kept"), "low": F.lit(1)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(1) for n in CLASHING})
     found = secret_scan.secret_scan(docs, rules)
-    got = sorted((r["text"] or "", r["s"]) for r in found.select("text", secret_scan.joined(F.col("__spans"), rules).alias("s")).collect())
+    assert found.select("row.*").columns == docs.columns
+    got = sorted((r["text"], r["s"]) for r in found.select("text", secret_scan.joined(F.col("spans"), rules).alias("s")).collect())
     want = sorted((t or "", ",".join(f"{k}:{s}:{e}" for k, s, e in spans_of(t, rules))) for _, t in rows)
     assert got == want
-    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask(found).collect()}
-    assert masked[1] == "***\" token='short' ***" and masked[8] is None and masked[7] == ""
+    masked = {r["doc_id"]: r["m"] for r in found.select("row.doc_id", secret_scan.masked().alias("m")).collect()}
+    assert masked[1] == "***\" token='short' ***" and masked[8] == masked[7] == ""
     assert secret_scan.secret_scan(docs.limit(0), rules).count() == 0
 
 
+def test_index_lowers_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = docs.select(secret_scan.trigrams(F.col("text"), ["abc", "def", "ghi"]).alias("g"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
 def test_registered_secret_query(spark, data):
     rules = secret_scan.BASE + secret_scan.MORE
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
@@ -107,21 +118,21 @@ def test_held_out_accuracy(spark):
         docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     except Exception:
         pytest.skip("no test data")
-    found = quality.classify(docs, labels.where("doc_id % 2 = 0")).select("doc_id", "__keep", "__host", "__path")
+    found = quality.classify(docs, labels.where("doc_id % 2 = 0")).select("row.doc_id", "keep")
     rows = found.join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
-    assert (rows["__keep"] == (rows.quality == 1)).mean() > 0.97
-    assert rows[rows.quality == 1]["__keep"].mean() > 0.98
+    assert (rows["keep"] == (rows.quality == 1)).mean() > 0.97
+    assert rows[rows.quality == 1]["keep"].mean() > 0.98
 
 
 def test_odd_tables(spark):
     rows = [(1, "Good words in a row.", "h", "en"), (2, None, None, None), (3, "", "h", None), (None, "x" * 100_000, "h", "en"), (1, "Good words in a row.", "h", "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({"n": F.lit(1), "s": F.lit(2)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({n: F.lit(1) for n in CLASHING})
     none = spark.createDataFrame([], "doc_id long, quality int")
     out = quality.classify(docs, none).collect()
-    assert len(out) == 5 and all(r["__keep"] and r["__doc"] == 0.5 for r in out)
+    assert len(out) == 5 and all(r["keep"] and r["doc"] == 0.5 for r in out)
     some = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (2, None), (1, 0)], "doc_id long, quality int")
     out = quality.classify(docs, some).collect()
-    assert len(out) == 5 and all(0 < r["__score"] < 1 for r in out)
+    assert len(out) == 5 and all(0 < r["score"] < 1 for r in out)
     assert quality.classify(docs.limit(0), some).count() == 0
 
 
@@ -130,5 +141,31 @@ def test_sparse_sites_shrink_to_the_prior(spark):
     rows += [(100, "BAD!! BAD!! ### $$$ %%%", "small", "en")]
     labels = spark.createDataFrame([(i, int(i < 60)) for i in range(80)], "doc_id long, quality int")
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    out = {r["source"]: r for r in quality.classify(docs, labels).collect()}
-    assert 0 < out["small"]["__doc"] < out["small"]["__host"] < out["big"]["__host"] < 1
+    out = {r["row"]["source"]: r for r in quality.classify(docs, labels).collect()}
+    assert 0 < out["small"]["doc"] < out["small"]["host"] < out["big"]["host"] < 1
+
+
+def test_posteriors_and_scores_equal_a_plain_computation(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.classify(docs, labels).select("row.*", "doc", "host", "path", "score", "keep").toPandas()
+    rows = rows.astype({"lang": object, "source": object}).fillna({"lang": "?", "source": "?"})
+    mean = rows["doc"].mean()
+
+    def precision(groups, prior):
+        n, k, m = groups["n"], len(groups), groups["s"] / groups["n"]
+        within = (n * prior * (1 - prior)).sum() / n.sum()
+        spread = (((m - prior) ** 2 * n).sum() - (k - 1) * within) / (n.sum() - (n**2).sum() / n.sum())
+        return min(max(within / spread - 1, 1.0), 1e4) if spread > 0 else 1e4
+
+    hosts = rows.groupby("source")["doc"].agg(n="count", s="sum").astype(float)
+    weight = precision(hosts, mean)
+    hosts["host"] = (hosts["s"] + weight * mean) / (hosts["n"] + weight)
+    paths = rows.groupby(["source", "lang"])["doc"].agg(n="count", s="sum").astype(float).reset_index().join(hosts["host"], on="source")
+    weight = precision(paths, paths["host"])
+    paths["path"] = (paths["s"] + weight * paths["host"]) / (paths["n"] + weight)
+    both = rows.merge(paths, on=["source", "lang"], suffixes=("", "_want"))
+    assert len(both) == len(rows) and abs(both["host"] - both["host_want"]).max() < 1e-9 and abs(both["path"] - both["path_want"]).max() < 1e-9
+    logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    want = 1 / (1 + np.exp(-(np.log(both["doc"] / (1 - both["doc"])) + logit(both["path"]) - logit(mean))))
+    assert abs(both["score"] - want).max() < 1e-6 and (both["keep"] == (both["score"] >= 0.5)).all()

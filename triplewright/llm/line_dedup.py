@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, part_of, rows_of, text_of
 
 BLANK_CHARS = " \t\n\x0b\f\r"
 
 
 def _key(line: Column) -> Column:
-    return F.xxhash64(F.btrim(line, F.lit(BLANK_CHARS)))
+    """128 bits: at 64, one of some 10**10 different lines would soon be taken for another."""
+    return F.unhex(F.md5(F.btrim(line, F.lit(BLANK_CHARS)).cast("binary")))
 
 
 def boilerplate(lines: DataFrame, min_sites: int, lg_k: int, margin: float) -> DataFrame:
@@ -46,7 +47,7 @@ def line_dedup(
     lg_k: int = 12,
     margin: float = 1.5,
 ) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of the text, and __lines and __removed counts.
+    """row (the columns of ``docs``), text without boilerplate lines, lines and removed (counts) of each row.
 
     A line counts as boilerplate if it occurs on ``min_sites`` or more distinct sites; blanks at its
     ends don't matter, and lines of blanks alone never count. It stays in the document with the
@@ -54,33 +55,32 @@ def line_dedup(
 
     A null text stays null and counts as empty. All null sites count as one site of its own. A null id is never
     the smallest unless all are null; then the line stays in each. Rows that share an id are parts of one
-    document. Other columns pass through. Empty table: empty result.
+    document. Columns of any name stay in ``row``. Very long texts are looked through whole. Empty table: empty result.
     """
     split = F.split(text_of(text_col), "\n", -1)
+    named = F.col(f"`{id_col}`").alias("doc_id"), part_of(id_col, text_col).alias("part")
     own = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("site"),
+        *named,
+        F.coalesce(F.concat(F.lit("="), F.col(f"`{site_col}`").cast("string")), F.lit("")).alias("site"),
         F.array_distinct(F.transform(F.filter(split, lambda x: F.btrim(x, F.lit(BLANK_CHARS)) != ""), _key)).alias("found"),
     )
-    lines = materialize(own.select("doc_id", "site", F.explode("found").alias("line")))
-    common = materialize(boilerplate(lines, min_sites, lg_k, margin))
+    lines = materialize(own.select("doc_id", "part", "site", F.explode("found").alias("line")))
+    common = materialize(boilerplate(lines, min_sites, lg_k, margin).where("first_id is not null"))
     gone = (
         lines.join(common, "line")
-        .where(~F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull())
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.collect_set("line").alias("__gone"))
+        .where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("first_id")))
+        .groupBy(F.col("doc_id").alias("of"), F.col("part").alias("of_part"))
+        .agg(F.collect_set("line").alias("gone"))
     )
-    marked = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left").drop("__id")
-    keep = F.filter(split, lambda x: ~F.array_contains("__gone", _key(x)) | (F.btrim(x, F.lit(BLANK_CHARS)) == ""))
-    kept = F.when(F.col("__gone").isNotNull(), keep)
-    return (
-        marked.withColumn("__kept", kept)
-        .withColumns(
-            {
-                "__lines": F.size(split).cast("long"),
-                "__removed": F.coalesce(F.size(split) - F.size("__kept"), F.lit(0)).cast("long"),
-                text_col: F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n")),
-            }
-        )
-        .drop("__kept", "__gone")
+    base = docs.select(*named, rows_of(docs).alias("row"))
+    marked = base.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")), "left")
+    text = F.col("row").getField(text_col).alias("text")
+    split = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    keep = F.filter(split, lambda x: ~F.array_contains("gone", _key(x)) | (F.btrim(x, F.lit(BLANK_CHARS)) == ""))
+    marked = marked.select("row", text, F.size(split).cast("long").alias("lines"), F.when(F.col("gone").isNotNull(), keep).alias("kept"))
+    return marked.select(
+        "row",
+        F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
+        "lines",
+        F.coalesce(F.col("lines") - F.size("kept"), F.lit(0)).cast("long").alias("removed"),
     )

@@ -188,16 +188,16 @@ def secret_scan(
     """
     queries = {i: q for i, rule in enumerate(rules) if (q := trigram_query(rule.pattern))}
     named = F.col(f"`{id_col}`").alias("doc_id"), part_of(id_col, text_col).alias("part"), text_of(text_col).alias("text")
-    base = docs.select(*named, rows_of(docs).alias("row"))
+    base = docs.select(*named[:2], rows_of(docs).alias("row"))
     found = stored(candidates(docs.select(*named), queries).withColumnsRenamed({"doc_id": "of", "part": "of_part"}))
     marked = base.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")), "left")
-    text = F.col("text")
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     spans = []
     for i, rule in enumerate(rules):
         named = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(1 << i) != 0 if i in queries else F.lit(True)
         spans.append(F.when(named & F.rlike(text, F.lit(rule.pattern)), _spans(text, rule, i)).otherwise(none))
-    return marked.select("row", "text", F.array_sort(reduce(lambda a, b: F.concat(a, b), spans)).alias("spans"))
+    return marked.select("row", text.alias("text"), F.array_sort(reduce(lambda a, b: F.concat(a, b), spans)).alias("spans"))
 
 
 def joined(spans: Column, rules: tuple[Rule, ...]) -> Column:

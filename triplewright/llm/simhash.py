@@ -7,10 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, stored, text_of
 from .components import components
 
 #: Every second bit; a segment is two bits, and its count 0, 1 or 2 takes their place.
@@ -21,37 +22,49 @@ TILE = 1024
 BLOCK = 200_000
 
 
-def fingerprints_of(texts: list[str], words: int = 3) -> np.ndarray:
-    """The 64-bit fingerprint of each text.
+def shingles_of(text: str, words: int) -> list[bytes]:
+    """ASCII letters in lower case; words between 0x20 and 0x09-0x0D; ``words`` of them joined by a space, or all of a shorter text."""
+    w = text.encode().lower().split()
+    if len(w) < words:
+        return [b" ".join(w)] if w else []
+    return list(map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)))
 
-    ASCII letters in lower case; words between 0x20 and 0x09-0x0D; a shingle is ``words`` words
-    joined by a space, or all words of a shorter text; a bit is set if set in over half the
-    shingles' XXH64 (seed 42). No words: zero.
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Another 64 bits for each hash."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def fingerprints_of(texts: list[str], words: int = 3, lanes: int = 1) -> np.ndarray:
+    """The fingerprint of each text: ``lanes`` columns of 64 bits.
+
+    A bit is set if set in over half the shingles' hashes: XXH64 (seed 42), for further lanes mixed on. No words: zero.
     """
     from xxhash import xxh64_intdigest
 
-    sizes, hashes, out = [], [], np.zeros(len(texts), dtype=np.uint64)
+    sizes, hashes, out = [], [], np.zeros((len(texts), lanes), dtype=np.uint64)
 
     def counted() -> None:
-        flat = np.array(hashes, dtype="<u8")
-        total, starts = np.zeros((len(sizes), 64), dtype=np.int64), np.cumsum([0, *sizes[:-1]])
-        for at in range(0, len(flat), BLOCK):
-            part = flat[at : at + BLOCK]
-            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            live = np.flatnonzero((starts < at + len(part)) & (starts + sizes > at))
-            total[live] += np.add.reduceat(bits, np.maximum(starts[live] - at, 0), axis=0, dtype=np.int64)
-        ones = (total * 2 > np.array(sizes)[:, None]).astype(np.uint8)
-        out[places] = np.packbits(ones, axis=1, bitorder="little").view("<u8").ravel()
+        starts, half = np.cumsum([0, *sizes[:-1]]), np.array(sizes)[:, None]
+        whole = np.array(hashes, dtype="<u8")
+        for lane in range(lanes):
+            total = np.zeros((len(sizes), 64), dtype=np.int64)
+            for at in range(0, len(whole), BLOCK):
+                part = whole[at : at + BLOCK]
+                bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                live = np.flatnonzero((starts < at + len(part)) & (starts + sizes > at))
+                total[live] += np.add.reduceat(bits, np.maximum(starts[live] - at, 0), axis=0, dtype=np.int64)
+            out[places, lane] = np.packbits((total * 2 > half).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
+            whole = _mixed(whole) if lane + 1 < lanes else whole
 
     places = []
     for i, text in enumerate(texts):
-        w = text.encode().lower().split()
-        if not w:
+        found = shingles_of(text, words)
+        if not found:
             continue
-        shingles = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-        before = len(hashes)
-        hashes.extend([xxh64_intdigest(s, 42) for s in shingles])
-        sizes.append(len(hashes) - before)
+        hashes.extend([xxh64_intdigest(s, 42) for s in found])
+        sizes.append(len(found))
         places.append(i)
         if len(hashes) >= BLOCK:
             counted()
@@ -61,17 +74,25 @@ def fingerprints_of(texts: list[str], words: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, body (a hash of the whole text) and fingerprint (a signed long) of each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1) -> DataFrame:
+    """doc_id, body (a digest of the whole text) and fingerprint (``fp``, ``fp2``...: signed longs) of each row."""
+    names = ["fp", *(f"fp{i}" for i in range(2, lanes + 1))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = fingerprints_of(batch["text"].tolist(), words)
-            yield batch[["doc_id", "body"]].assign(fp=found.view(np.int64))
+            text = batch.column("text")
+            for at in range(0, len(text), 1000):
+                found = fingerprints_of(text.slice(at, 1000).to_pylist(), words, lanes).view(np.int64)
+                columns = [batch.column(c).slice(at, 1000) for c in ("doc_id", "body")]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, found.T.copy())], names=["doc_id", "body", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("body"), text_of(text_col).alias("text"))
-    return narrow.mapInPandas(run, f"doc_id {kind}, body long, fp long")
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), body_of(text_col), text_of(text_col).alias("text"))
+    return narrow.mapInArrow(run, f"doc_id {kind}, body binary, " + ", ".join(f"{n} long" for n in names))
+
+
+def body_of(text_col: str) -> Column:
+    return F.unhex(F.md5(text_of(text_col).cast("binary"))).alias("body")
 
 
 def masks(radius: int, free: int) -> list[int]:
@@ -123,38 +144,79 @@ def _stars(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def _tiles(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """Of rows in the order of the key, whole tiles, some thousand rows at a time."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        last = (rows[key] != rows[key].iloc[-1]).any(axis=1).to_numpy() if len(rows) else np.zeros(0, dtype=bool)
+        stop = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+        held = rows.iloc[stop:]
+        if stop:
+            yield rows.iloc[:stop]
+    if held is not None and len(held):
+        yield held
+
+
+def _starts(rows: pd.DataFrame, key: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    values = rows[key].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(axis=1)])
+    return starts, np.diff(np.r_[starts, len(rows)])
+
+
+TILE_KEY = ["table", "cell", "i", "j"]
+
+
 def _links(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        rows = pd.concat(frames, ignore_index=True).drop_duplicates()
-        rows = rows.sort_values(["table", "cell", "i", "j"], kind="stable")
-        x = rows["fp"].to_numpy().view(np.uint64)
-        key = rows[["table", "cell", "i", "j"]].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-        sizes = np.diff(np.r_[starts, len(x)])
-        group = np.repeat(np.arange(len(starts)), sizes)
-        a, b = [], []
-        small = np.repeat(sizes <= 64, sizes)
-        for shift in range(1, min(64, int(sizes.max()))):
-            at = np.flatnonzero(small[:-shift] & (group[:-shift] == group[shift:]))
-            if not len(at):
-                continue
-            at = at[near(x[at], x[at + shift], radius)]
-            a.append(x[at])
-            b.append(x[at + shift])
-        for start, size in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
-            left, right = _stars(x[start : start + size], radius)
-            a.append(left)
-            b.append(right)
-        if a:
-            edges = pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
-            yield edges.drop_duplicates()
+        for rows in _tiles(batches, TILE_KEY):
+            rows = rows.drop_duplicates()
+            x = rows["fp"].to_numpy().view(np.uint64)
+            starts, sizes = _starts(rows, TILE_KEY)
+            group = np.repeat(np.arange(len(starts)), sizes)
+            a, b = [], []
+            small = np.repeat(sizes <= 64, sizes)
+            for shift in range(1, min(64, int(sizes.max()))):
+                at = np.flatnonzero(small[:-shift] & (group[:-shift] == group[shift:]))
+                if not len(at):
+                    continue
+                at = at[near(x[at], x[at + shift], radius)]
+                a.append(x[at])
+                b.append(x[at + shift])
+            for start, size in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
+                left, right = _stars(x[start : start + size], radius)
+                a.append(left)
+                b.append(right)
+            if a:
+                edges = pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+                yield edges.drop_duplicates()
 
     return run
 
 
+def _tiled(cells: DataFrame, name: str) -> DataFrame:
+    """Rows of (table, cell) dealt to tiles; cells of more than TILE rows are cut into blocks, each pair of which is one."""
+    size = cells.groupBy("table", "cell").count().where(F.col("count") > TILE)
+    blocks = size.select("table", "cell", F.ceil(F.col("count") / TILE).alias("blocks"))
+    cells = cells.join(blocks, ["table", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64(name), F.col("blocks"))
+    cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "blocks")
+    return cells.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
+
+
+def _counts_of(fp: str) -> Column:
+    """The embedding, as a column."""
+    high = F.shiftrightunsigned(fp, 1)
+    one = F.col(fp).bitwiseXOR(high).bitwiseAND(F.lit(LOW_BITS))
+    two = F.col(fp).bitwiseAND(high).bitwiseAND(F.lit(LOW_BITS))
+    return one.bitwiseOR(F.shiftleft(two, 1))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def links(points: DataFrame, radius: int = 3, free: int = 2) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` that join all within ``radius`` of each other.
 
@@ -163,20 +225,10 @@ def links(points: DataFrame, radius: int = 3, free: int = 2) -> DataFrame:
     pair of blocks is a tile of its own. Of a dense cell a star leaves, not all pairs. More ``free``
     groups make more tables with finer cells, for larger inputs.
     """
-    high = F.shiftrightunsigned("fp", 1)
-    one = F.col("fp").bitwiseXOR(high).bitwiseAND(F.lit(LOW_BITS))
-    two = F.col("fp").bitwiseAND(high).bitwiseAND(F.lit(LOW_BITS))
-    count_bits = one.bitwiseOR(F.shiftleft(two, 1))
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius, free)]
+    signed = [_signed(m) for m in masks(radius, free)]
     table = F.posexplode(F.array(*[F.col("p").bitwiseAND(F.lit(m)) for m in signed])).alias("table", "cell")
-    cells = points.select("fp", count_bits.alias("p")).select("fp", table)
-    size = cells.groupBy("table", "cell").count().where(F.col("count") > TILE)
-    blocks = size.select("table", "cell", F.ceil(F.col("count") / TILE).alias("blocks"))
-    cells = cells.join(blocks, ["table", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = cells.select("table", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    return tiles.repartition("table", "cell", "i", "j").mapInPandas(_links(radius), "a long, b long")
+    cells = points.select("fp", _counts_of("fp").alias("p")).select("fp", table)
+    return _tiled(cells, "fp").mapInPandas(_links(radius), "a long, b long")
 
 
 def near_duplicates(
@@ -211,3 +263,131 @@ def near_duplicates(
         F.col("lead.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("body") == F.col("lead.body"))).alias("keep"),
     )
+
+
+# ---- five-word shingles at a similarity of 0.8
+
+
+def samples(tables: int, segments: int, lanes: int = 2, seed: int = 17) -> list[list[int]]:
+    """For each table a mask per lane that covers ``segments`` two-bit segments picked at random."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(tables):
+        found = [0] * lanes
+        for s in rng.choice(32 * lanes, segments, replace=False).tolist():
+            found[s // 32] |= 3 << 2 * (s % 32)
+        out.append(found)
+    return out
+
+
+def _leaders(radius: int):
+    """In each tile the first point that has none yet leads all within the radius; a pair for each leader of a point."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _tiles(batches, TILE_KEY):
+            rows = rows.drop_duplicates()
+            x = np.stack([rows["fp"].to_numpy(), rows["fp2"].to_numpy()], axis=1).view(np.uint64)
+            ids, found = rows["point"].to_numpy(), []
+            counts = counts_of(x)
+            starts, sizes = _starts(rows, TILE_KEY)
+            for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                left = np.arange(start, start + size)
+                # another order in each table, so that other points lead
+                left = left[np.argsort(_mixed(x[left, 0] ^ np.uint64(int(rows["table"].iloc[start]))))]
+                all_, free = left, np.ones(size, dtype=bool)
+                for k in range(size):
+                    if not free[k]:
+                        continue
+                    z = counts[all_] ^ counts[all_[k]]
+                    low, high = z & np.uint64(LOW_BITS), (z >> np.uint64(1)) & np.uint64(LOW_BITS)
+                    bound = (np.bitwise_count(low) + 2 * np.bitwise_count(high & ~low)).sum(axis=1)
+                    close = np.flatnonzero(bound <= radius)
+                    far = np.bitwise_count(x[all_[close]] ^ x[all_[k]]).sum(axis=1)
+                    close, far = close[far <= radius], far[far <= radius]
+                    free[close] = False
+                    other = close != k
+                    found.append((np.full(int(other.sum()), ids[all_[k]]), ids[all_[close[other]]], far[other]))
+            if found:
+                a, b, far = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "far": far.astype(np.int32)}).drop_duplicates()
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            found = [np.unique(np.array([xxh64_intdigest(s, 42) for s in set(shingles_of(t, words))], dtype="<u8")).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"point": batch["point"], "shingles": found})
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles have at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for s, t in zip(batch["s"], batch["t"], strict=True):
+                s, t = np.frombuffer(s, dtype="<u8"), np.frombuffer(t, dtype="<u8")
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(both >= similarity * (len(s) + len(t) - both))
+            yield batch.loc[keep, ["a", "b"]]
+
+    of = lambda end, name: sets.select(F.col("point").alias(end), F.col("shingles").alias(name))
+    return pairs.select("a", "b").join(of("a", "s"), "a").join(of("b", "t"), "b").mapInPandas(run, "a long, b long")
+
+
+def similar_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    similarity: float = 0.8,
+    radius: int = 30,
+    tables: int = 64,
+    segments: int = 10,
+) -> DataFrame:
+    """doc_id, body, keep for each row: near-duplicates by shingles of ``words`` words and their Jaccard ``similarity``.
+
+    Fingerprints have 128 bits; texts at a similarity of 0.8 differ in some 19 of them, standard deviation 4. A
+    table of the grid joins fingerprints that agree in the bit counts of ``segments`` random segments; in a cell those
+    within ``radius`` of a leader are candidates, first by the Manhattan distance of counts, then exactly. Candidates count only
+    if the shingles themselves reach the similarity: first each point's closest one, then those that
+    lie in different groups still. Groups are the components of the links; ``keep`` marks the rows
+    of one id and text in each. ``segments`` grows with the logarithm of the table, and ``tables`` with it, to keep cells small.
+
+    Rows of equal fingerprints count as one text. Null text: empty; texts without words are alike. A null id never beats
+    another. Repeated rows are all returned. Empty table: empty result. Other columns are not read.
+    """
+    marked = stored(fingerprints(docs, id_col, text_col, words, 2))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "body")).alias("first")
+    points = stored(marked.groupBy("fp", "fp2").agg(first).withColumn("point", F.monotonically_increasing_id()))
+    chosen = samples(tables, segments)
+    cell = [F.hash(*[F.col(p).bitwiseAND(F.lit(_signed(m))) for p, m in zip(("p", "p2"), pair, strict=True)]) for pair in chosen]
+    cells = points.select("point", "fp", "fp2", _counts_of("fp").alias("p"), _counts_of("fp2").alias("p2"))
+    cells = cells.select("point", "fp", "fp2", F.posexplode(F.array(*cell)).alias("table", "cell"))
+    pairs = stored(_tiled(cells, "point").mapInPandas(_leaders(radius), "a long, b long, far int").distinct())
+
+    involved = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).distinct().join(points, "point")
+    involved = stored(involved.select("point", F.col("first.doc_id").alias("of"), F.col("first.body").alias("of_body")))
+    named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), body_of(text_col), text_of(text_col).alias("text"))
+    texts = named.join(involved, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("body") == F.col("of_body")))
+    sets = stored(texts.select("point", "text").mapInPandas(_sets(words), "point long, shingles binary").dropDuplicates(["point"]))
+    closest = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    links = stored(_verified(closest, sets, similarity))
+    group = stored(components(links))
+    root = lambda end: group.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    rest = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    links = links.union(_verified(rest, sets, similarity))
+
+    roots = components(links).withColumnRenamed("node", "point")
+    member = stored(points.join(roots, "point", "left").select("fp", "fp2", F.coalesce("root", "point").alias("root"), "first"))
+    lead = member.groupBy("root").agg(F.min("first").alias("lead"))
+    of = member.join(lead, "root").select("fp", "fp2", "lead")
+    same = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("body") == F.col("lead.body"))
+    return marked.join(of, ["fp", "fp2"]).select("doc_id", "body", same.alias("keep"))
