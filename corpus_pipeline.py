@@ -6,47 +6,48 @@ Each function takes (spark, docs, sf_dir). All but the last return the columns o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplewright.llm import line_dedup, packing, quality, secret_scan, simhash
-from triplewright.llm.common import documents, stored
+from triplewright.llm.common import documents, rows_of, stored
 from triplewright.llm.queries import VOCABULARY
 
 #: SQL can express neither the fitted classifier nor the fingerprints.
 ORACLE_SQL = None
 
 
-def _columns_of(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        size = F.length(F.coalesce("text", F.lit(""))).cast(kind)
-        changed = changed.withColumn("n_chars", size)
-    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _rows(changed: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The rows of ``docs`` with another text, and ``n_chars``, where it is there, of that."""
+    put = lambda c: F.col("row").getField(c).alias(c)
+    size = lambda c: F.length(F.coalesce(text, F.lit(""))).cast(docs.schema[c].dataType).alias(c)
+    special = {"text": lambda c: text.alias(c), "n_chars": size}
+    return changed.select(*[special.get(c, put)(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps, unchanged."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(docs, labels).where("__keep").select(*docs.columns)
+    return quality.classify(docs, labels).where("keep").select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that many sites share."""
-    return _columns_of(line_dedup.line_dedup(docs), docs)
+    return _rows(line_dedup.line_dedup(docs), docs, F.col("text"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of rows that share id and text, one."""
-    key = lambda body: F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), body)
-    keep = simhash.near_duplicates(docs).where("keep").select(key(F.col("body")).alias("__key"))
-    keyed = docs.withColumn("__key", key(F.xxhash64(F.coalesce("text", F.lit("")))))
-    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    """One document of each group whose shingles of five words are alike to 0.8; of rows that share id and text, one."""
+    keep = simhash.similar_documents(docs).where("keep").select(F.col("doc_id").alias("of"), F.col("body").alias("of_body")).distinct()
+    keyed = docs.select(rows_of(docs).alias("row"), F.col("doc_id").alias("id"), simhash.body_of("text"))
+    kept = keyed.join(keep, F.col("id").eqNullSafe(F.col("of")) & (F.col("body") == F.col("of_body")), "left_semi")
+    return kept.dropDuplicates(["id", "body"]).select("row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with *** in place of its secrets."""
-    return _columns_of(secret_scan.mask(secret_scan.secret_scan(docs)), docs)
+    old = F.col("row").getField("text")
+    return _rows(secret_scan.secret_scan(docs), docs, F.when(F.size("spans") > 0, secret_scan.masked()).otherwise(old))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
