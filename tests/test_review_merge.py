@@ -96,6 +96,53 @@ def test_timings(spark):
     assert seen.get["rows"] == 3
 
 
+def test_stream_survives_failures_before_between_and_after(spark, tmp_path, monkeypatch):
+    folder, base = tmp_path / "in", str(tmp_path / "graph")
+    folder.mkdir()
+    names = iter(("Apple", "Bean", "Carrot", "Daisy", "Elder"))
+
+    def run():
+        ingest.ingest(spark, str(folder), base, str(tmp_path / "check"), ["is part of"]).awaitTermination()
+
+    write, told = merge.write_snapshot, []
+
+    def before(edges, base, version):
+        raise OSError("before")
+
+    def between(edges, base, version):
+        edges.write.parquet(f"{base}/version={version}")
+        raise OSError("between")
+
+    def after(edges, base, version):
+        write(edges, base, version)
+        raise OSError("after")
+
+    for fail in (between, None, before, between, after):
+        name = next(names)
+        (folder / f"{name}.txt").write_text(f"{name} is part of data.")
+        told.append(name)
+        if fail:
+            monkeypatch.setattr(merge, "write_snapshot", fail)
+            with pytest.raises(Exception):
+                run()
+        monkeypatch.setattr(merge, "write_snapshot", write)
+        run()
+        assert sorted(r["src"] for r in merge.read_snapshot(spark, base).collect()) == sorted(told)
+
+
+def test_numbered_counts_over_ranges(spark):
+    rows = spark.createDataFrame([(i, f"s{i % 40:02}") for i in range(100)], "edge_ord long, sentence string").repartition(5)
+    got = [r["line"] for r in review.numbered(rows).collect()]
+    assert sorted(got, key=lambda x: int(x.split(".")[0])) == [f"{i + 1}. s{i:02}" for i in range(40)]
+
+
+def test_no_decision_holds_from_a_quit_on(spark):
+    edges = spark.createDataFrame([(k,) for k in "abcd"], "edge_key string")
+    said = [("a", "Accept", 1), ("a", "reject", 2), ("b", "reject", 3), ("x", "quit", 4), ("c", "accept", 5)]
+    got = review.decided(edges, spark.createDataFrame(said, "edge_key string, decision string, ord int"))
+    assert {r[0]: r["status"] for r in got.collect()} == {"a": "accept", "b": "reject", "c": "undecided", "d": "undecided"}
+
+
 def test_stream_of_files_grows_the_graph(spark, tmp_path):
     folder, base = tmp_path / "in", str(tmp_path / "graph")
     folder.mkdir()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .review import first_of
 
 KEY = ("src", "dst", "label", "__source")
+POINTER = "number long, version string"
 
 
 def merge_edges(current: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
@@ -70,15 +72,34 @@ def upsert_batch(current: DataFrame, edges: DataFrame, now: Column) -> tuple[Dat
 
 
 def write_snapshot(edges: DataFrame, base: str, version: str) -> None:
-    """Write a version of the edge table, then point to it; readers see the old one until then."""
-    edges.write.mode("errorifexists").parquet(f"{base}/version={version}")
-    spark = edges.sparkSession
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/current")
+    """Write a version of the edge table, then point to it; readers see the old one until then.
+
+    Pointers are only ever added, so there is always one that holds. A version that no pointer names is what a
+    failure left; it is written anew. One that is in use can't be written again.
+    """
+    spark, last = edges.sparkSession, pointer(edges.sparkSession, base)
+    if last and last["version"] == version:
+        raise ValueError(f"version {version} is in use")
+    edges.write.mode("overwrite").parquet(f"{base}/version={version}")
+    row = [((last["number"] if last else 0) + 1, version)]
+    spark.createDataFrame(row, POINTER).coalesce(1).write.mode("append").parquet(f"{base}/current")
+
+
+def pointer(spark: SparkSession, base: str) -> Row | None:
+    """The last pointer: number, version; None before the first version is complete."""
+    try:
+        return spark.read.schema(POINTER).parquet(f"{base}/current").orderBy(F.desc("number")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def read_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    version = spark.read.text(f"{base}/current").first()[0]
-    return spark.read.parquet(f"{base}/version={version}")
+    last = pointer(spark, base)
+    if last is None:
+        raise ValueError(f"no version is complete under {base}")
+    return spark.read.parquet(f"{base}/version={last['version']}")
 
 
 def write_log(rows: DataFrame, base: str, stage: str, run_id: str) -> None:

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANKS, strip
+from ..steps import checkpointed
+
+
+def split_words(text: Column) -> Column:
+    """The words of a text between blanks."""
+    return F.filter(F.split(strip(text), f"[{BLANKS}]+", -1), lambda w: w != "")
 
 
 def words(df: DataFrame, id_col: str, text_col: str, lower: bool = False) -> DataFrame:
-    """id, word: the words of a text between blanks."""
-    body = strip(F.lower(text_col) if lower else F.col(text_col))
-    split = F.filter(F.split(body, f"[{BLANKS}]+", -1), lambda w: w != "")
-    return df.select(F.col(id_col).alias("id"), F.explode(split).alias("word"))
+    """id, word: a row for each word of a text."""
+    body = F.lower(text_col) if lower else F.col(text_col)
+    return df.select(F.col(id_col).alias("id"), F.explode(split_words(body)).alias("word"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 4, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -24,20 +29,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 4, k1: float = 1.5, b: fl
     in over half the documents gets ``epsilon`` times the mean weight. Words of a query count as
     often as they occur. A document that shares no word with a query isn't ranked.
     """
-    terms = words(docs, "doc_id", "text").groupBy("id", "word").agg(F.count("*").alias("tf"))
-    sizes = terms.groupBy("id").agg(F.sum("tf").alias("size"))
-    spread = terms.groupBy("word").agg(F.count("*").alias("df"))
-    n = docs.count()
+    found = split_words(F.col("text"))
+    whole = docs.agg(F.count("*").alias("n"), F.sum(F.size(found)).alias("total")).first()
+    n, average = whole["n"], (whole["total"] or 0) / whole["n"] if whole["n"] else 1.0
+    # each document counts a word once, so that counting starts where the documents are
+    spread = docs.select(F.explode(F.array_distinct(found)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    spread = spread.withColumn("idf", idf)
+    spread = checkpointed(spread.withColumn("idf", idf))
     mean = spread.agg(F.avg("idf")).first()[0] or 0.0
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    average = total / n if n else 1.0
     spread = spread.withColumn("idf", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")))
     asked = words(queries, "query_id", "text", lower=True).groupBy(F.col("id").alias("query_id"), "word").agg(F.count("*").alias("times"))
-    # only words that some query has are worth a posting
-    wanted = asked.join(spread, "word")
-    hits = terms.join(wanted, "word").join(sizes, "id")
+    wanted = checkpointed(asked.join(spread, "word").select("query_id", "word", "times", "idf"))
+    # only words that some query has become postings
+    postings = docs.select(F.col("doc_id").alias("id"), F.size(found).alias("size"), F.explode(found).alias("word"))
+    postings = postings.join(wanted.select("word").distinct(), "word", "left_semi")
+    hits = postings.groupBy("id", "word").agg(F.count("*").alias("tf"), F.first("size").alias("size")).join(wanted, "word")
     weight = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1)
     weight = weight / (F.col("tf") + k1 * (1 - b + b * F.col("size") / average))
     scored = hits.groupBy("query_id", F.col("id").alias("doc_id")).agg(F.round(F.sum(weight), 6).alias("score"))
@@ -47,8 +53,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 4, k1: float = 1.5, b: fl
 
 def overlap(docs: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
     """query_id, rank, doc_id, score: the documents that share most distinct words with each query."""
-    terms = words(docs, "doc_id", "text").distinct()
     asked = words(queries, "query_id", "text", lower=True).distinct().withColumnRenamed("id", "query_id")
+    terms = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(split_words(F.col("text")))).alias("word"))
     scored = terms.join(asked, "word").groupBy("query_id", F.col("id").alias("doc_id")).agg(F.count("*").cast("double").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

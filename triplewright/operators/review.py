@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..steps import checkpointed
 
 
 def first_of(rows: DataFrame, key: list, order: list) -> DataFrame:
@@ -90,9 +91,16 @@ def sentence_records(edges: DataFrame) -> DataFrame:
 
 
 def numbered(records: DataFrame) -> DataFrame:
-    """line: "1. ...", the distinct sentences in order of first sight. For exports of bounded size: it needs one order over all."""
+    """line: "1. ...", the distinct sentences in order of first sight.
+
+    Sentences are dealt to ranges of that order; each range counts its own, after how many there are before it.
+    """
     first = records.groupBy("sentence").agg(F.min("edge_ord").alias("first"))
-    nth = F.row_number().over(Window.orderBy("first"))
+    first = checkpointed(first.repartitionByRange("first", "sentence").withColumn("range", F.spark_partition_id()))
+    sizes = first.groupBy("range").agg(F.count("*").alias("n"))  # a row per range
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("first", "sentence"))
+    first, nth = first.join(before, "range"), (own + F.col("before")).cast("string")
     return first.select(F.concat(nth, F.lit(". "), F.col("sentence")).alias("line"))
 
 
@@ -109,9 +117,16 @@ def grouped_export(rows: DataFrame) -> DataFrame:
 
 
 def decided(relations: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``relations`` (edge_key, ...) with status accept, reject or undecided; rows after a quit have no decision."""
-    known = decisions.select("edge_key", F.lower("decision").alias("status")).where(F.col("status").isin("accept", "reject"))
-    return relations.join(known.dropDuplicates(["edge_key"]), "edge_key", "left").withColumn("status", F.coalesce("status", F.lit("undecided")))
+    """``relations`` (edge_key, ...) with status accept, reject or undecided.
+
+    Decisions go by ``ord``: the first of an edge holds, and from a quit on none does. Without ``ord`` no quit comes before any.
+    """
+    order = F.col("ord") if "ord" in decisions.columns else F.lit(0)
+    known = decisions.select("edge_key", F.lower("decision").alias("status"), order.alias("at"))
+    stop = known.where("status = 'quit'").agg(F.min("at").alias("stop")).first()["stop"] if "ord" in decisions.columns else None
+    known = known.where(F.col("status").isin("accept", "reject") & (F.lit(True) if stop is None else F.col("at") < F.lit(stop)))
+    known = known.groupBy("edge_key").agg(F.min(F.struct("at", "status"))["status"].alias("status"))
+    return relations.join(known, "edge_key", "left").withColumn("status", F.coalesce("status", F.lit("undecided")))
 
 
 def decision_counts(rows: DataFrame) -> DataFrame:

@@ -101,6 +101,6 @@ def qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(query side, graph side) of the embeddings: every tenth vector stands for an edge."""
+    """(queries, items) of the embeddings: the stated query set, ids divisible by 100, and every vector."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return rows.where("id % 10 <> 0"), rows.where("id % 10 = 0")
+    return rows.where("id % 100 = 0"), rows

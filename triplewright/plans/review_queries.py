@@ -16,11 +16,11 @@ from .retrieval_queries import TOP
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query vector as a quality, its hits as neighbours; every other neighbour has no sentence."""
     asked, given = sides(spark, sf_dir)
-    hits = vectors.top_k(asked, given, 5)
+    hits = vectors.top_k(asked, given, 5, others=True)
     sentence = F.when(F.col("item_id") % 20 == 0, F.lit(" ")).otherwise(F.concat(F.lit("edge "), F.col("item_id")))
     near = F.sort_array(F.collect_list(F.struct("rank", "score", sentence.alias("sentence"))))
     rows = hits.groupBy(F.col("query_id").alias("id")).agg(F.max("score").alias("max_score"), near.alias("neighbors"))
-    return rows.withColumn("quality", F.concat(F.lit("edge "), F.col("id") % 100, F.lit(" holds")))
+    return rows.withColumn("quality", F.concat(F.lit("edge "), (F.col("id") / 100).cast("long"), F.lit(" holds")))
 
 
 @query(
@@ -351,20 +351,22 @@ def s82c(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two thirds of the edges as the graph; all, with other sentences, as what comes in."""
+    """All edges as the graph; what comes in has all of them again with other sentences, and each the other way round."""
     old, new = F.to_timestamp(F.lit("2024-01-01 00:00:00")), F.lit(None).cast("timestamp")
     edges = kg_edges(spark, sf_dir)
-    current = review.first_of(edges.where("edge_ord % 3 <> 0"), ["src", "dst", "label", "source"], ["edge_ord"])
+    current = review.first_of(edges, ["src", "dst", "label", "source"], ["edge_ord"])
     current = current.withColumns({"created_at": old, "last_updated_at": old})
-    incoming = edges.where("edge_ord % 5 <> 0").withColumn("sentence", F.concat(F.lit("again "), F.col("sentence")))
+    back = edges.withColumns({"src": F.col("dst"), "dst": F.col("src"), "label": F.lit("holds")})
+    incoming = edges.union(back.select(*edges.columns)).withColumn("sentence", F.concat(F.lit("again "), F.col("sentence")))
     return current, incoming.withColumns({"created_at": new, "last_updated_at": new})
 
 
 @query(
     "s53_merged_edges",
     """
-WITH c AS (SELECT *, row_number() OVER (PARTITION BY src, dst, label, source ORDER BY edge_ord) AS n FROM kg_edges WHERE edge_ord % 3 <> 0),
-i AS (SELECT *, row_number() OVER (PARTITION BY src, dst, label, source ORDER BY edge_ord) AS n FROM kg_edges WHERE edge_ord % 5 <> 0)
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY src, dst, label, source ORDER BY edge_ord) AS n FROM kg_edges),
+b AS (SELECT edge_ord, src, dst, label, source, sentence FROM kg_edges UNION ALL SELECT edge_ord, dst, src, 'holds', source, sentence FROM kg_edges),
+i AS (SELECT *, row_number() OVER (PARTITION BY src, dst, label, source ORDER BY edge_ord) AS n FROM b)
 SELECT coalesce(c.edge_ord, i.edge_ord) AS edge_ord, coalesce(c.src, i.src) AS src, coalesce(c.dst, i.dst) AS dst, coalesce(c.label, i.label) AS label,
   coalesce(c.source, i.source) AS source, coalesce(c.sentence, 'again ' || i.sentence) AS sentence,
   CASE WHEN c.src IS NOT NULL THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-06-01 00:00:00' END AS created_at,
@@ -384,15 +386,15 @@ def s53(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 SELECT label, CASE WHEN bool_or(old) THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-06-01 00:00:00' END AS created_at,
   CASE WHEN bool_or(new) THEN TIMESTAMP '2024-06-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS last_updated_at FROM (
-  SELECT unnest([src, dst]) AS label, edge_ord % 3 <> 0 AS old, edge_ord % 5 <> 0 AS new FROM kg_edges WHERE edge_ord % 3 <> 0 OR edge_ord % 5 <> 0)
+  SELECT src AS label, true AS old, true AS new FROM kg_edges UNION ALL SELECT dst, false, true FROM kg_edges)
 GROUP BY label
 """,
 )
 def s53n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph holds the sources of edges; their targets come in."""
     current, incoming = _graph_and_batch(spark, sf_dir)
     old = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
-    nodes = current.select(F.explode(F.array("src", "dst")).alias("label")).distinct()
-    nodes = nodes.withColumns({"created_at": old, "last_updated_at": old})
+    nodes = current.select(F.col("src").alias("label")).distinct().withColumns({"created_at": old, "last_updated_at": old})
     rows = merge.merge_nodes(nodes, incoming, F.to_timestamp(F.lit("2024-06-01 00:00:00")))
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "last_updated_at")})
 
@@ -521,5 +523,5 @@ SELECT count(*) FILTER (kept) AS num_kept, count(*) FILTER (NOT kept) AS num_dro
 )
 def s88(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, given = sides(spark, sf_dir)
-    rows = vectors.filter_by_similarity(asked.select("id"), vectors.top_k(asked, given, 5), 5, 0.25)
+    rows = vectors.filter_by_similarity(asked.select("id"), vectors.top_k(asked, given, 5, others=True), 5, 0.25)
     return metrics.stage_counts(rows, "kept", "num_kept", "num_dropped")

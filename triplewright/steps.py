@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder that the cluster names, and cut the lineage.
 
-    Only where spark.checkpoint.dir is unset (tests, one machine) a temporary folder is made.
+    Only a local session (tests, one machine) may do without it; a temporary folder is made then.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 

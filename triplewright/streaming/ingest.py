@@ -27,25 +27,18 @@ def edges_of(texts: DataFrame, predicates: list[str]) -> DataFrame:
 def ingest(spark: SparkSession, folder: str, base: str, checkpoint: str, predicates: list[str]) -> StreamingQuery:
     """Merge new files of a folder into the snapshots under ``base``; stops when none is left.
 
-    A batch is a version named by its number. The merge changes nothing but times when an edge
-    comes again, so a batch that is run twice after a failure does no harm.
+    A batch is a version named by its number. One that was pointed to before a failure is done; one that was
+    only written, or not, is merged into the last complete version and written anew.
     """
     stream = spark.readStream.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
 
     def put(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        last = merge.pointer(session, base)
+        if last and last["version"] == str(number):
+            return
         new = edges_of(batch, predicates).withColumns({c: F.lit(None).cast("timestamp") for c in ("created_at", "last_updated_at")})
-        try:
-            old = merge.read_snapshot(batch.sparkSession, base)
-        except Exception as e:  # no snapshot yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.sparkSession.createDataFrame([], new.schema)
-        whole = checkpointed(merge.merge_edges(old, new, F.current_timestamp()))
-        try:
-            merge.write_snapshot(whole, base, str(number))
-        except Exception as e:  # this batch was written before a failure
-            if "PATH_ALREADY_EXISTS" not in str(e):
-                raise
-            whole.write.mode("overwrite").parquet(f"{base}/version={number}")
+        old = merge.read_snapshot(session, base) if last else session.createDataFrame([], new.schema)
+        merge.write_snapshot(checkpointed(merge.merge_edges(old, new, F.current_timestamp())), base, str(number))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
