@@ -41,7 +41,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 4, k1: float = 1.5, b: fl
     asked = words(queries, "query_id", "text", lower=True).groupBy(F.col("id").alias("query_id"), "word").agg(F.count("*").alias("times"))
     wanted = checkpointed(asked.join(spread, "word").select("query_id", "word", "times", "idf"))
     # only words that some query has become postings
-    postings = docs.select(F.col("doc_id").alias("id"), F.size(found).alias("size"), F.explode(found).alias("word"))
+    held = docs.select(F.col("doc_id").alias("id"), F.size(found).alias("size"), found.alias("words"))
+    postings = held.select("id", "size", F.explode("words").alias("word"))
     postings = postings.join(wanted.select("word").distinct(), "word", "left_semi")
     hits = postings.groupBy("id", "word").agg(F.count("*").alias("tf"), F.first("size").alias("size")).join(wanted, "word")
     weight = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1)
