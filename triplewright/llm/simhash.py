@@ -197,7 +197,8 @@ def _links(radius: int):
 def _tiled(cells: DataFrame, name: str) -> DataFrame:
     """Rows of (table, cell) dealt to tiles; cells of more than TILE rows are cut into blocks, each pair of which is one."""
     size = cells.groupBy("table", "cell").count().where(F.col("count") > TILE)
-    blocks = size.select("table", "cell", F.ceil(F.col("count") / TILE).alias("blocks"))
+    # written, so that the few large cells are broadcast and the others need not be dealt twice
+    blocks = stored(size.select("table", "cell", F.ceil(F.col("count") / TILE).alias("blocks")))
     cells = cells.join(blocks, ["table", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64(name), F.col("blocks"))
     cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
