@@ -50,7 +50,8 @@ class WordBpe:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split)
         # Characters from U+0300 on are normalised and split by the tables of the library itself: Unicode versions differ.
-        self.far, self.normal = Split(Regex(split), "removed", invert=True), Tokenizer.from_file(path).normalizer
+        small = spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}  # its normaliser alone
+        self.far, self.normal = Split(Regex(split), "removed", invert=True), Tokenizer.from_str(json.dumps(small)).normalizer
         self.inner = np.array([vocab[c] for c in letters], dtype=np.int64)
         self.final = np.array([vocab[c + end] for c in letters], dtype=np.int64)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
