@@ -20,6 +20,8 @@ LOW_BITS = 0x5555555555555555
 TILE = 1024
 #: Shingles whose bits are counted at once.
 BLOCK = 200_000
+#: Tiles of up to so many points are compared pair by pair at once; in larger ones, leader by leader.
+SMALL = 256
 
 
 def shingles_of(text: str, words: int) -> list[bytes]:
@@ -281,6 +283,31 @@ def samples(tables: int, segments: int, lanes: int = 2, seed: int = 17) -> list[
     return out
 
 
+def _within(x: np.ndarray, y: np.ndarray, counts_x: np.ndarray, counts_y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two lanes are within ``radius``, by the bound of their counts and then exactly, and how far they are."""
+    z = counts_x ^ counts_y
+    low, high = z & np.uint64(LOW_BITS), (z >> np.uint64(1)) & np.uint64(LOW_BITS)
+    bound = np.bitwise_count(low) + 2 * np.bitwise_count(high & ~low)
+    close = np.flatnonzero(bound[:, 0] + bound[:, 1] <= radius)
+    far = np.bitwise_count(x[close] ^ (y if len(y) == 1 else y[close]))
+    far = far[:, 0] + far[:, 1]
+    return close[far <= radius], far[far <= radius]
+
+
+def _mated(x: np.ndarray, counts: np.ndarray, group: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """Which points may have another within ``radius`` in their tile; in tiles of over SMALL points all may."""
+    small = np.repeat(sizes <= SMALL, sizes)
+    mated, at = ~small, np.flatnonzero(small)
+    for shift in range(1, SMALL):
+        at = at[at + shift < len(x)]
+        at = at[group[at] == group[at + shift]]
+        if not len(at):
+            break
+        close, _ = _within(x[at], x[at + shift], counts[at], counts[at + shift], radius)
+        mated[at[close]] = mated[at[close] + shift] = True
+    return mated
+
+
 def _leaders(radius: int):
     """In each tile the first point that has none yet leads all within the radius; a pair for each leader of a point."""
 
@@ -288,26 +315,25 @@ def _leaders(radius: int):
         for rows in _tiles(batches, TILE_KEY):
             rows = rows.drop_duplicates()
             x = np.stack([rows["fp"].to_numpy(), rows["fp2"].to_numpy()], axis=1).view(np.uint64)
-            ids, found = rows["point"].to_numpy(), []
+            ids, table, found = rows["point"].to_numpy(), rows["table"].to_numpy(), []
             counts = counts_of(x)
-            starts, sizes = _starts(rows, TILE_KEY)
-            for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-                left = np.arange(start, start + size)
-                # another order in each table, so that other points lead
-                left = left[np.argsort(_mixed(x[left, 0] ^ np.uint64(int(rows["table"].iloc[start]))))]
-                all_, free = left, np.ones(size, dtype=bool)
-                for k in range(size):
+            _, sizes = _starts(rows, TILE_KEY)
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            # most points of small tiles are alone there: all are compared at once, and no leader is sought for these
+            left = np.flatnonzero(_mated(x, counts, group, sizes, radius))
+            for inside in np.split(left, np.flatnonzero(np.diff(group[left])) + 1):
+                if len(inside) < 2:
+                    continue
+                # another order in each table, so that other points lead; of the fingerprints alone, so that a task done again finds the same
+                inside = inside[np.argsort(_mixed(x[inside, 0] ^ _mixed(x[inside, 1]) ^ np.uint64(int(table[inside[0]]))))]
+                y, c, free = x[inside], counts[inside], np.ones(len(inside), dtype=bool)
+                for k in range(len(inside)):
                     if not free[k]:
                         continue
-                    z = counts[all_] ^ counts[all_[k]]
-                    low, high = z & np.uint64(LOW_BITS), (z >> np.uint64(1)) & np.uint64(LOW_BITS)
-                    bound = (np.bitwise_count(low) + 2 * np.bitwise_count(high & ~low)).sum(axis=1)
-                    close = np.flatnonzero(bound <= radius)
-                    far = np.bitwise_count(x[all_[close]] ^ x[all_[k]]).sum(axis=1)
-                    close, far = close[far <= radius], far[far <= radius]
+                    close, far = _within(y, y[k : k + 1], c, c[k : k + 1], radius)
                     free[close] = False
                     other = close != k
-                    found.append((np.full(int(other.sum()), ids[all_[k]]), ids[all_[close[other]]], far[other]))
+                    found.append((np.full(int(other.sum()), ids[inside[k]]), ids[inside[close[other]]], far[other]))
             if found:
                 a, b, far = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "far": far.astype(np.int32)}).drop_duplicates()
