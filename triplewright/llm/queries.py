@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, lm, packing, quality, secret_scan, simhash, substring, topk
-from .common import documents
+from . import bpe, exact_dedup, language, line_dedup, lm, packing, phrases, quality, runs, secret_scan, simhash, substring, topk
+from .common import BLANKS, documents, text_of
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -160,6 +160,81 @@ FROM k GROUP BY doc_id
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir).select("doc_id", "lang", "text"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d
+), n AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang
+), g AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM p, (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size
+), f AS (
+  SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10
+), w AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f
+), holds AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM w WHERE size = 3
+  ) GROUP BY ALL
+), own AS (
+  SELECT w.* FROM w LEFT JOIN holds USING (lang, phrase) WHERE size > 1 AND NOT coalesce(100 * longer >= 50 * a, false)
+), cut AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS one, array_to_string(w[k + 1:size], ' ') AS two
+  FROM own, (VALUES (1), (2)) s(k) WHERE k < size
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM cut c JOIN f l ON l.lang = c.lang AND l.phrase = c.one JOIN f r ON r.lang = c.lang AND r.phrase = c.two
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split(text_of(), BLANKS, -1), lambda w: w != "")
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    # one document in ten gets a tail that repeats
+    split = docs.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w"))
+    g = F.floor(F.col("h") / 10)
+    cut = split.withColumn("a", F.when(F.col("n") > 0, g % F.col("n")).cast("int"))
+    cut = cut.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    period = F.slice("w", F.col("a") + 1, F.col("p"))
+    tail = F.flatten(F.array_repeat(period, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    altered = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), F.col("n") - F.col("a"))), " ")
+    given = cut.select("doc_id", F.when(F.col("a").isNotNull(), altered).otherwise(F.col("text")).alias("text"))
+    found = runs.periodic_runs(given, carry=["doc_id"])
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    told = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(told.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text", held_out.alias("held_out"))
+    model = language.fit(docs.where("not held_out and lang is not null"))
+    found = language.identify(docs, model, carry=["doc_id", "held_out"])
+    # the nearest language even of a far text; far tells it
+    return found.select("row.doc_id", "row.held_out", F.col("nearest").alias("lang_pred"), "score", "far")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -172,8 +247,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_substring": op9_substring,
         "op10_line_dedup": op10_line_dedup,
+        "op11_collocations": op11_collocations,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_language": op13_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": _op2_sql(), "op4_exact_dedup": OP4_SQL, "op8_topk": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_secrets": _op2_sql(), "op4_exact_dedup": OP4_SQL, "op8_topk": OP8_SQL, "op10_line_dedup": OP10_SQL, "op11_collocations": OP11_SQL}
