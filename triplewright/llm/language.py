@@ -28,10 +28,8 @@ _letters = np.array([c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 9
 
 def counts(texts: list[bytes]) -> np.ndarray:
     """The number of each hashed n-gram in each text; what is no letter in ASCII counts as a space, spaces in a row as one."""
-    body = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts])
-    sizes[0] += 1
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    body = np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)  # a space before and after each
+    doc = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
     body = _letters[body]
     keep = ~((body == 32) & np.r_[False, (body[1:] == 32) & (body[:-1] == 32) & (doc[1:] == doc[:-1])])
     body, doc = body[keep].astype(np.uint32), doc[keep]
@@ -45,6 +43,11 @@ def counts(texts: list[bytes]) -> np.ndarray:
     return out.reshape(len(texts), DIM)
 
 
+def cosines(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of unit vectors, rounded, so that which are multiplied together can't decide a tie."""
+    return np.round(x @ c.T, 9)
+
+
 def vectors(n: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """TF-IDF at unit length: 1 + log of the counts, times the weights. No n-gram: zeros."""
     x = np.where(n > 0, 1 + np.log(np.maximum(n, 1)), 0) * weights
@@ -57,14 +60,14 @@ def clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     x = x[(x != 0).any(1)]
     if not len(x):
         return np.zeros((0, x.shape[1]))
-    chosen = [int(np.argmax(x @ x.sum(0)))]
-    near = x @ x[chosen[0]]
+    chosen = [int(np.argmax(np.round(x @ x.mean(0), 9)))]
+    near = cosines(x, x[chosen[0]])
     while len(chosen) < k and near.min() < 1 - 1e-9:
         chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, x @ x[chosen[-1]])
+        near = np.maximum(near, cosines(x, x[chosen[-1]]))
     c = x[chosen]
     for _ in range(rounds):
-        which = np.argmax(x @ c.T, axis=1)
+        which = np.argmax(cosines(x, c), axis=1)
         sums = np.stack([x[which == j].sum(0) for j in range(len(c))])
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         new = np.where(norm > 0, sums / np.where(norm == 0, 1, norm), c)
@@ -177,7 +180,7 @@ def fit(texts: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_c
     def assigned(part: list[bytes], langs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         centroids, of = sent.value
         x = vectors(counts(part), weights)
-        cosine = np.where(of[None, :] == langs[:, None], x @ centroids.T, -1)
+        cosine = np.where(of[None, :] == langs[:, None], cosines(x, centroids), -1)
         which, best = cosine.argmax(1), cosine.max(1)
         whole = np.rint(x * SCALE)
         for key in np.unique(which[best >= 0]).tolist():
@@ -225,7 +228,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
             names, scores, fars = [], [], []
             for _, part in _chunks(texts.fill_null("")):
                 if m.langs:
-                    cosine = vectors(counts(part), m.weights) @ m.centroids.T
+                    cosine = cosines(vectors(counts(part), m.weights), m.centroids)
                     which, best = cosine.argmax(1), np.clip(cosine.max(1), 0, 1)
                     names += [m.langs[k] for k in which]
                     scores.append(best)
