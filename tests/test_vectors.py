@@ -72,12 +72,21 @@ def test_approximate_recall_on_the_embeddings_table(spark):
     assert recall >= 0.9
 
 
-def test_approximate_fills_queries_that_no_bucket_serves(spark):
-    x = np.random.default_rng(2).normal(size=(40, 8))
-    got = vectors.approximate_top_k(rows(spark, x[:9] + 0.5), rows(spark, x), 3, bucket=1e-6, tables=1).toPandas()
-    want = vectors.top_k(rows(spark, x[:9] + 0.5), rows(spark, x), 3).toPandas()
-    key = ["query_id", "rank"]
-    assert got.sort_values(key)["item_id"].tolist() == want.sort_values(key)["item_id"].tolist() and len(got) == 27
+def test_approximate_fills_queries_whose_cells_hold_too_few(spark):
+    x = np.random.default_rng(2).normal(size=(400, 8))
+    asked, given = rows(spark, x[:9] + 0.5), rows(spark, x)
+    got = vectors.approximate_top_k(asked, given, 3, cells=300, recall=0.01).toPandas()
+    assert (got.groupby("query_id").size() == 3).all() and len(got) == 27
+
+
+def test_approximate_splits_a_cell_that_holds_most_rows(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.ones((900, 8)) + rng.normal(scale=1e-3, size=(900, 8)), rng.normal(size=(300, 8))])
+    asked, given = rows(spark, x[:50]), rows(spark, x)
+    got = vectors.approximate_top_k(asked, given, 4, recall=1.0, query_tile=16, shard_rows=64, others=True).toPandas()
+    want = vectors.top_k(asked, given, 4, others=True).toPandas()
+    hit = got.merge(want, on=["query_id", "item_id"])
+    assert len(got) == len(want) == 200 and len(hit) >= 190
 
 
 def test_bm25_and_fusion(spark):
