@@ -116,10 +116,21 @@ def test_encoder_is_repeatable(spark):
 
 def test_topics(spark):
     base = [("cats", "cat cat purr meow"), ("dogs", "dog bark bone")]
-    texts = [(f"{k}{i}", t) for k, t in base for i in range(12)] + [("z", "fish fin")]
-    found = topics.clustered(spark.createDataFrame(texts, "id string, text string"), topics=3, least=10)
-    assert {r["topic_id"] for r in found.where("id = 'z'").collect()} <= {-1, 0, 1, 2}
+    texts = [(f"{k}{i}", t) for k, t in base for i in range(12 + (k == "dogs"))] + [("z", "fish fin"), ("e", " ")]
+    found = topics.clustered(spark.createDataFrame(texts, "id string, text string")).cache()
+    got = {r["id"]: r["topic_id"] for r in found.collect()}
+    assert all(got[f"dogs{i}"] == 0 for i in range(13)) and all(got[f"cats{i}"] == 1 for i in range(12))
+    assert got["z"] == got["e"] == -1
     words = topics.topic_words(found)
-    hit = topics.matched(words, found, "CAT", ["dog"]).collect()
-    assert {r["match_type"] for r in hit} <= {"exact", "synonym"} and any(r["match_type"] == "exact" for r in hit)
-    assert topics.report(found).agg(F.sum("n_paragraphs")).first()[0] == 25
+    hits = {r["topic_id"]: r for r in topics.matched(words, found, "CAT", ["dog", "bone"]).collect()}
+    assert (hits[1]["match_type"], hits[1]["matched_terms"], hits[1]["keyword_count"], hits[1]["n_paragraphs"]) == ("exact", ["cat"], 1, 12)
+    assert (hits[0]["match_type"], hits[0]["matched_terms"], hits[0]["keyword_count"]) == ("synonym", ["bone", "dog"], 0)
+    inside = topics.matched_paragraphs(topics.matched(words, found, "cat", []), found).collect()
+    assert {r["id"] for r in inside} == {f"cats{i}" for i in range(12)}
+    info = {r["topic_id"]: r for r in topics.topic_info(found, words).collect()}
+    assert info[-1]["n_paragraphs"] == 2 and info[-1]["name"] == "-1" and info[1]["name"] == "1_cat_meow_purr"
+    docs = {r["id"]: r for r in topics.document_info(found, words).collect()}
+    assert len(docs) == 27 and docs["z"]["probability"] == 0 and docs["cats0"]["probability"] == 1
+    assert sum(r["is_representative"] for r in docs.values()) == 6 and docs["dogs3"]["top_words"] == "bark - bone - dog"
+    told = topics.report(found, words, topics.matched(words, found, "cat", []), "cat", []).first()
+    assert told["n_paragraphs"] == 27 and told["n_topics"] == 3 and told["matched"][0]["topic_id"] == 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge, metrics, novelty, records, review, topics, triples, vectors
+from ..steps import checkpointed
 from .base import kg_edges, paragraphs, qualities, query, table
 from .base import vectors as sides
 from .retrieval_queries import TOP
@@ -467,7 +468,7 @@ def s83t(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = paragraphs(spark, sf_dir).select(F.concat_ws(":", "doc_id", "ord").alias("id"), F.col("body").alias("text"))
-    return topics.clustered(rows)
+    return checkpointed(topics.clustered(rows))
 
 
 @query("s84_topics")
@@ -478,12 +479,19 @@ def s84(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s85_matched_topics")
 def s85(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _topics(spark, sf_dir)
-    return topics.matched(topics.topic_words(rows), rows, "und", ["les", "die"])
+    return topics.matched_paragraphs(topics.matched(topics.topic_words(rows), rows, "und", ["les", "die"]), rows)
 
 
 @query("s86_topic_report")
 def s86(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.report(_topics(spark, sf_dir))
+    rows = _topics(spark, sf_dir)
+    return topics.topic_info(rows, topics.topic_words(rows))
+
+
+@query("s86_document_info")
+def s86d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _topics(spark, sf_dir)
+    return topics.document_info(rows, topics.topic_words(rows))
 
 
 def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
