@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from triplewright.operators import merge, metrics, review
+from triplewright.operators import merge, metrics, review, store
 from triplewright.streaming import ingest
 
 EDGES = "edge_ord long, src string, dst string, label string, source string, sentence string, created_at timestamp, last_updated_at timestamp"
@@ -104,30 +104,78 @@ def test_stream_survives_failures_before_between_and_after(spark, tmp_path, monk
     def run():
         ingest.ingest(spark, str(folder), base, str(tmp_path / "check"), ["is part of"]).awaitTermination()
 
-    write, told = merge.write_snapshot, []
+    commit, told = store._commit, []
 
-    def before(edges, base, version):
+    def before(*_):
         raise OSError("before")
 
-    def between(edges, base, version):
-        edges.write.parquet(f"{base}/version={version}")
-        raise OSError("between")
-
-    def after(edges, base, version):
-        write(edges, base, version)
+    def after(*what):
+        commit(*what)
         raise OSError("after")
 
-    for fail in (between, None, before, between, after):
+    for fail in (before, None, before, after):
         name = next(names)
         (folder / f"{name}.txt").write_text(f"{name} is part of data.")
         told.append(name)
         if fail:
-            monkeypatch.setattr(merge, "write_snapshot", fail)
+            monkeypatch.setattr(store, "_commit", fail)
             with pytest.raises(Exception):
                 run()
-        monkeypatch.setattr(merge, "write_snapshot", write)
+        monkeypatch.setattr(store, "_commit", commit)
         run()
-        assert sorted(r["src"] for r in merge.read_snapshot(spark, base).collect()) == sorted(told)
+        assert sorted(r["src"] for r in store.read(spark, base).collect()) == sorted(told)
+
+
+def test_two_streams_over_one_graph(spark, tmp_path):
+    base, told = str(tmp_path / "graph"), []
+    for k, names in enumerate((["Apple"], ["Daisy"], ["Bean"], ["Elder", "Fig"])):
+        folder = tmp_path / f"in{k % 2}"
+        folder.mkdir(exist_ok=True)
+        for name in names:
+            (folder / f"{name}.txt").write_text(f"{name} is part of data.")
+        ingest.ingest(spark, str(folder), base, str(tmp_path / f"check{k % 2}"), ["is part of"]).awaitTermination()
+        told += names
+        assert sorted(r["src"] for r in store.read(spark, base).collect()) == sorted(told)
+
+
+def test_bucketed_table_equals_merge_edges_and_rewrites_few_buckets(spark, tmp_path):
+    base = str(tmp_path / "g")
+    schema = "edge_ord long, src string, dst string, label string, source string, sentence string, created_at timestamp, last_updated_at timestamp"
+    want, rewritten = spark.createDataFrame([], schema), []
+    for v in range(6):
+        rows = [(i, f"s{i % 300}", "d", "l", None if i % 2 else "", f"{v}:{i}", None, None) for i in range(0 if v == 0 else 290, 320 if v == 0 else 290 + 3 * v)]
+        new = spark.createDataFrame(rows, schema)
+        rewritten.append(store.upsert(new, base, f"v{v}", day(v + 1), buckets=16, most_deltas=3))
+        want = spark.createDataFrame(merge.merge_edges(want, new, day(v + 1)).collect(), schema)
+        got = store.read(spark, base)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    state = store.manifest(spark, base)
+    touched = {p["bucket"] for p in state["parts"] if p["version"] == "v5"} | set(rewritten[5])
+    assert rewritten[0] == rewritten[1] == rewritten[2] == [] and 0 < sum(map(len, rewritten)) < 16
+    assert len(touched) < 16  # a small batch leaves the other buckets alone
+    with pytest.raises(ValueError, match="in use"):
+        store.upsert(new, base, "v2", day(9))
+
+
+def test_a_number_that_another_writer_took_is_tried_again(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "g")
+    edge = lambda name: batch(spark, (name, "d", "l", None, "x"))
+    store.upsert(edge("a"), base, "one", day(1), buckets=4)
+    real, raced = store.manifest, []
+
+    def stale(session, where):
+        state = real(session, where)
+        if state and state["number"] == 1 and not raced and session is spark and stale.armed:
+            raced.append(True)
+            stale.armed = False
+            store.upsert(edge("b"), base, "two", day(2))
+        return state
+
+    stale.armed = True
+    monkeypatch.setattr(store, "manifest", stale)
+    store.upsert(edge("c"), base, "three", day(3))
+    monkeypatch.setattr(store, "manifest", real)
+    assert sorted(r["src"] for r in store.read(spark, base).collect()) == ["a", "b", "c"]
 
 
 def test_numbered_counts_over_ranges(spark):
@@ -149,5 +197,5 @@ def test_stream_of_files_grows_the_graph(spark, tmp_path):
     for name, body in (("a.txt", "Bias is part of data.\nNothing."), ("b.txt", "Noise is part of data.")):
         (folder / name).write_text(body)
         ingest.ingest(spark, str(folder), base, str(tmp_path / "check"), ["is part of"]).awaitTermination()
-    rows = merge.read_snapshot(spark, base).collect()
+    rows = store.read(spark, base).collect()
     assert sorted((r["src"], r["dst"]) for r in rows) == [("Bias", "data"), ("Noise", "data")]

@@ -75,10 +75,10 @@ def write_snapshot(edges: DataFrame, base: str, version: str) -> None:
     """Write a version of the edge table, then point to it; readers see the old one until then.
 
     Pointers are only ever added, so there is always one that holds. A version that no pointer names is what a
-    failure left; it is written anew. One that is in use can't be written again.
+    failure left; it is written anew. One that a pointer has ever had can't be written again.
     """
     spark, last = edges.sparkSession, pointer(edges.sparkSession, base)
-    if last and last["version"] == version:
+    if last and not spark.read.schema(POINTER).parquet(f"{base}/current").where(F.col("version") == version).isEmpty():
         raise ValueError(f"version {version} is in use")
     edges.write.mode("overwrite").parquet(f"{base}/version={version}")
     row = [((last["number"] if last else 0) + 1, version)]

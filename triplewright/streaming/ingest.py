@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import merge, triples
+from ..operators import store, triples
 from ..sources.readers import text_sentences
-from ..steps import checkpointed
 
 
 def edges_of(texts: DataFrame, predicates: list[str]) -> DataFrame:
@@ -24,21 +25,23 @@ def edges_of(texts: DataFrame, predicates: list[str]) -> DataFrame:
     )
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave a stream when its checkpoint was made."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
 def ingest(spark: SparkSession, folder: str, base: str, checkpoint: str, predicates: list[str]) -> StreamingQuery:
-    """Merge new files of a folder into the snapshots under ``base``; stops when none is left.
+    """Merge new files of a folder into the edge table under ``base``; stops when none is left.
 
-    A batch is a version named by its number. One that was pointed to before a failure is done; one that was
-    only written, or not, is merged into the last complete version and written anew.
+    A batch is a version named by the stream's id and its number, so other streams and writers of the same
+    table have other names. A batch that a manifest knows was done before a failure; any other is written anew.
     """
     stream = spark.readStream.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
 
     def put(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        last = merge.pointer(session, base)
-        if last and last["version"] == str(number):
-            return
-        new = edges_of(batch, predicates).withColumns({c: F.lit(None).cast("timestamp") for c in ("created_at", "last_updated_at")})
-        old = merge.read_snapshot(session, base) if last else session.createDataFrame([], new.schema)
-        merge.write_snapshot(checkpointed(merge.merge_edges(old, new, F.current_timestamp())), base, str(number))
+        version = f"{stream_id(session, checkpoint)}-{number}"
+        if not store.known(session, base, version):
+            store.upsert(edges_of(batch, predicates), base, version, F.current_timestamp())
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
