@@ -151,16 +151,40 @@ def batch_qualities(sent: DataFrame, answers: DataFrame, cap: int = 12, on_error
     return rows.withColumn("qualities", F.slice(F.coalesce("qualities", none), 1, cap))
 
 
-def decomposed(rows: DataFrame, answers: DataFrame, n: int, by: list[str], order: list[str], text_col: str, cap: int = 12, on_error: str = "empty") -> DataFrame:
+def failed_batches(sent: DataFrame, answers: DataFrame, by: list[str]) -> DataFrame:
+    """by, batch_id of the prompts without an answer."""
+    said = answers.where("raw is not null").select("prompt_hash").distinct()
+    return sent.join(said, "prompt_hash", "left_anti").select(*by, "batch_id")
+
+
+def decomposed(
+    rows: DataFrame, answers: DataFrame, n: int, by: list[str], order: list[str], text_col: str,
+    cap: int = 12, on_error: str = "empty", mode: str = "chunks",
+) -> DataFrame:
     """by, batch_id, id, pos, quality: the qualities of texts in batches of ``n``, in order.
 
-    ``answers`` holds what a model said to prompts(batched(rows)). A batch without answer has no
-    qualities, or is an error with on_error='fail'.
+    ``answers`` holds what a model said to prompts(batched(rows)); a batch without one has failed. With
+    on_error='empty' (batches side by side) it has no qualities; with 'stop' (one after the other)
+    neither it nor a later batch of its group has; 'fail' makes it an error. With mode='sentences' each
+    text is a prompt of its own, answered by {"qualities": [...]}.
     """
-    sent = prompts(batched(rows, n, by, order), "decompose", by, text_col)
+    if on_error not in ("empty", "stop", "fail") or mode not in ("chunks", "sentences"):
+        raise ValueError("unknown policy or mode")
+    alone = mode == "sentences"
+    sent = prompts(batched(rows, 1 if alone else n, by, order), "decompose_text" if alone else "decompose", by, text_col)
     items = F.from_json("payload_json", "items array<struct<id:int,text:string>>")["items"]
     asked = sent.select(*by, "batch_id", "prompt_hash", F.explode(items).alias("i")).withColumn("id", F.col("i.id")).drop("i")
-    found = batch_qualities(asked, answers, cap, on_error)
+    if alone:
+        policy = "left" if on_error != "stop" else "inner"
+        said = parsed(answers.where("raw is not null")).select("prompt_hash", F.slice(qualities_of(F.col("value")), 1, cap).alias("qualities"))
+        found = asked.join(said.dropDuplicates(["prompt_hash"]), "prompt_hash", policy)
+        if on_error == "fail":
+            found = found.withColumn("id", F.when(F.col("qualities").isNull(), F.raise_error(F.lit("a text has no answer"))).otherwise(F.col("id")))
+    else:
+        found = batch_qualities(asked, answers, cap, on_error)
+    if on_error == "stop":
+        first = failed_batches(sent, answers, by).groupBy(*by).agg(F.min("batch_id").alias("__stop"))
+        found = found.join(first, by, "left").where(F.col("__stop").isNull() | (F.col("batch_id") < F.col("__stop")))
     return found.select(*by, "batch_id", "id", F.posexplode("qualities").alias("pos", "quality"))
 
 

@@ -31,12 +31,12 @@ def s39(spark: SparkSession, sf_dir: str) -> DataFrame:
     BATCHES
     + """
 , p AS (SELECT doc_id, batch_id, count(*)::INTEGER AS n,
-  to_json(struct_pack(items := list(struct_pack(id := nr % 5, "text" := quality) ORDER BY nr)))::VARCHAR AS payload_json FROM b GROUP BY ALL)
+  to_json(struct_pack(items := list(struct_pack(id := nr, "text" := quality) ORDER BY nr)))::VARCHAR AS payload_json FROM b GROUP BY ALL)
 SELECT 'novelty' AS stage, doc_id, batch_id, n, sha256('novelty' || chr(10) || payload_json) AS prompt_hash, payload_json FROM p
 """,
 )
 def s40(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boundary.prompts(_batches(spark, sf_dir), "novelty", ["doc_id"], "quality")
+    return boundary.prompts(_batches(spark, sf_dir), "novelty", ["doc_id"], "quality", "running")
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,13 +111,46 @@ def s44(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "batch_id", "id", F.array_join("qualities", "|").alias("quality"))
 
 
+#: A batch fails here if the length of its first text says so.
+FAILED = BATCHES + ", f AS (SELECT doc_id, batch_id FROM b WHERE nr % 5 = 0 AND length(quality) % 7 = 3) "
+ITEMS = "SELECT doc_id, batch_id, (nr % 5)::INTEGER AS id, 0 AS pos, trim(quality) AS quality FROM b"
+
+
+def _decomposed(spark: SparkSession, sf_dir: str, on_error: str) -> DataFrame:
+    _, answers = _batch_answers(spark, sf_dir)
+    items = F.from_json("payload_json", "items array<struct<id:int,text:string>>")["items"]
+    sent = boundary.prompts(_batches(spark, sf_dir), "decompose", ["doc_id"], "quality")
+    lost = sent.where(F.length(items[0]["text"]) % 7 == 3).select("prompt_hash")
+    answers = answers.join(lost, "prompt_hash", "left_anti")
+    return boundary.decomposed(qualities(spark, sf_dir), answers, 5, ["doc_id"], ["ord", "pos"], "quality", on_error=on_error)
+
+
 @query(
     "s45_decomposed",
-    BATCHES + "SELECT doc_id, batch_id, (nr % 5)::INTEGER AS id, 0 AS pos, trim(quality) AS quality FROM b WHERE nr % 5 < 4",
+    FAILED + ", e AS (SELECT doc_id, min(batch_id) AS stop FROM f GROUP BY doc_id) " + ITEMS + " LEFT JOIN e USING (doc_id) WHERE nr % 5 < 4 AND (stop IS NULL OR batch_id < stop)",
 )
 def s45(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = boundary.batch_qualities(*_batch_answers(spark, sf_dir), on_error="fail")
-    return rows.select("doc_id", "batch_id", "id", F.posexplode("qualities").alias("pos", "quality"))
+    """Batches one after the other: nothing counts from the first failed one on."""
+    return _decomposed(spark, sf_dir, "stop")
+
+
+@query("s45_decomposed_apart", FAILED + ITEMS + " ANTI JOIN f USING (doc_id, batch_id) WHERE nr % 5 < 4")
+def s45p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches side by side: only failed ones are empty."""
+    return _decomposed(spark, sf_dir, "empty")
+
+
+@query(
+    "s45_decomposed_sentences",
+    BATCHES + "SELECT doc_id, nr AS batch_id, 0 AS id, 0 AS pos, trim(quality) AS quality FROM b",
+)
+def s45s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt a text."""
+    rows, by, order = qualities(spark, sf_dir), ["doc_id"], ["ord", "pos"]
+    sent = boundary.prompts(boundary.batched(rows, 1, by, order), "decompose_text", by, "quality")
+    text = F.from_json("payload_json", "items array<struct<id:int,text:string>>")["items"][0]["text"]
+    answers = sent.select("prompt_hash", F.to_json(F.struct(F.array(text, F.lit(" ")).alias("qualities"))).alias("raw")).dropDuplicates(["prompt_hash"])
+    return boundary.decomposed(rows, answers, 1, by, order, "quality", on_error="stop", mode="sentences")
 
 
 @query(
@@ -176,3 +209,32 @@ def s48(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s49(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gate.filter_paragraphs(paragraphs(spark, sf_dir), "und", ["die", "les", "que"])
     return rows.select("doc_id", "ord", "match_type", "is_matched")
+
+
+#: The hashed encoder in SQL: a word's place and sign by its MD5; a keyword of one word is one of them.
+MEANING = (
+    KEYWORDS
+    + r"""
+, k AS (SELECT doc_id, ord, list(term ORDER BY rank) AS keywords FROM s WHERE rank <= 8 GROUP BY ALL),
+c AS (SELECT p.doc_id, p.ord::INTEGER AS ord, coalesce(keywords, []) AS keywords FROM paragraphs p LEFT JOIN k USING (doc_id, ord)),
+words AS (SELECT doc_id, ord::INTEGER AS ord, unnest(regexp_extract_all(lower(body), '[\p{L}\p{N}_]+')) AS word FROM paragraphs),
+h AS (SELECT word, ('0x' || md5(word)[1:8])::BIGINT % 64 AS place, CASE WHEN ('0x' || md5(word)[9:10])::BIGINT % 2 = 1 THEN 1 ELSE -1 END AS sign
+  FROM (SELECT word FROM words UNION SELECT 'und')),
+q AS (SELECT place, sign FROM h WHERE word = 'und'),
+v AS (SELECT doc_id, ord, place, sum(sign) AS x FROM words JOIN h USING (word) GROUP BY ALL),
+g AS (SELECT doc_id, ord, coalesce(sum(x * q.sign) FILTER (v.place = q.place), 0) / sqrt(nullif(sum(x * x), 0)) AS sim FROM v, q GROUP BY ALL),
+e AS (SELECT doc_id, ord, max(CASE WHEN h.place = q.place THEN h.sign * q.sign ELSE 0 END) AS best
+  FROM (SELECT doc_id, ord, unnest(keywords) AS word FROM c) JOIN h USING (word), q GROUP BY ALL),
+m AS (SELECT doc_id, ord, CASE WHEN list_contains(keywords, 'und') THEN 'exact' WHEN list_has_any(keywords, ['die', 'les', 'que']) THEN 'synonym'
+  WHEN coalesce(sim, 0) >= 0.45 THEN 'near_paragraph_global' WHEN best >= 0.65 THEN 'near_paragraph_keywords' END AS match_type, coalesce(sim, 0) AS sim, best
+  FROM c LEFT JOIN g USING (doc_id, ord) LEFT JOIN e USING (doc_id, ord))
+SELECT doc_id, ord, match_type, match_type IS NOT NULL AS is_matched,
+  CASE match_type WHEN 'near_paragraph_global' THEN round(sim, 4) WHEN 'near_paragraph_keywords' THEN round(best, 4) END AS score FROM m
+"""
+)
+
+
+@query("s49_gate_by_meaning", MEANING)
+def s49m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gate.filter_by_meaning(paragraphs(spark, sf_dir), "und", ["die", "les", "que"])
+    return rows.select("doc_id", "ord", "match_type", "is_matched", F.round("score", 4).alias("score"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import merge, metrics, novelty, records, review, topics, triples, vectors
-from ..steps import checkpointed
+from ..operators import bulk, merge, metrics, novelty, records, review, store, topics, triples, vectors
+from ..steps import checkpointed, shared_folder
 from .base import kg_edges, paragraphs, qualities, query, table
 from .base import vectors as sides
 from .retrieval_queries import TOP
@@ -362,9 +364,7 @@ def _graph_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return current, incoming.withColumns({"created_at": new, "last_updated_at": new})
 
 
-@query(
-    "s53_merged_edges",
-    """
+MERGED = """
 WITH c AS (SELECT *, row_number() OVER (PARTITION BY src, dst, label, source ORDER BY edge_ord) AS n FROM kg_edges),
 b AS (SELECT edge_ord, src, dst, label, source, sentence FROM kg_edges UNION ALL SELECT edge_ord, dst, src, 'holds', source, sentence FROM kg_edges),
 i AS (SELECT *, row_number() OVER (PARTITION BY src, dst, label, source ORDER BY edge_ord) AS n FROM b)
@@ -374,14 +374,26 @@ SELECT coalesce(c.edge_ord, i.edge_ord) AS edge_ord, coalesce(c.src, i.src) AS s
   CASE WHEN i.src IS NOT NULL THEN TIMESTAMP '2024-06-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS last_updated_at
 FROM (SELECT * FROM c WHERE n = 1) c FULL JOIN (SELECT * FROM i WHERE n = 1) i
   ON c.src = i.src AND c.dst = i.dst AND c.label = i.label AND c.source = i.source
-""",
-)
+"""
+
+
+@query("s53_merged_edges", MERGED)
 def s53(spark: SparkSession, sf_dir: str) -> DataFrame:
     current, incoming = _graph_and_batch(spark, sf_dir)
     rows = merge.merge_edges(current, incoming, F.to_timestamp(F.lit("2024-06-01 00:00:00")))
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "last_updated_at")})
 
 
+@query("s53_bucketed_edges", MERGED)
+def s53b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the bucketed table: the graph is a version, what comes in another."""
+    current, incoming = _graph_and_batch(spark, sf_dir)
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    for version, rows, day in (("graph", current, "2024-01-01"), ("batch", incoming, "2024-06-01")):
+        store.upsert(rows, base, version, F.to_timestamp(F.lit(f"{day} 00:00:00")))
+    return store.read(spark, base).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "last_updated_at")})
+
+
 @query(
     "s53_merged_nodes",
     """
@@ -431,16 +443,29 @@ def s55(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.select("src", "label", "dst")
 
 
-@query("s56_bulk_upload", "SELECT DISTINCT src, replace(label, '_', ' ') AS label, dst FROM kg_edges")
-def s56(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one sentence per edge, through patterns, into an empty graph."""
+def _uploaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A document for each edge: a sentence before the edge's own in every seventh, no text in every ninth; into an empty graph."""
     said = F.concat(F.col("src"), F.lit(" "), F.replace("label", F.lit("_"), F.lit(" ")), F.lit(" "), F.col("dst"), F.lit("."))
-    docs = kg_edges(spark, sf_dir).select("edge_ord", said.alias("sentence"))
-    found = triples.by_patterns(docs, ["is part of", "is kind of", "is located in"]).where("subject is not null")
-    new = found.selectExpr("edge_ord", "subject AS src", "object AS dst", "predicate AS label", "sentence", "CAST(NULL AS STRING) AS source")
-    new = new.withColumns({c: F.lit(None).cast("timestamp") for c in ("created_at", "last_updated_at")})
-    snapshot, _, _ = merge.upsert_batch(new.limit(0), new, F.current_timestamp())
-    return snapshot.select("src", "label", "dst")
+    body = F.when(F.col("edge_ord") % 9 == 0, F.lit(None).cast("string")).when(F.col("edge_ord") % 7 == 0, F.concat(F.lit("Nothing is said about it here. "), said)).otherwise(said)
+    docs = kg_edges(spark, sf_dir).select(F.col("edge_ord").alias("doc_id"), F.lit(None).cast("string").alias("source"), body.alias("text"))
+    empty = spark.createDataFrame([], "edge_ord long, src string, dst string, label string, source string, sentence string, created_at timestamp, last_updated_at timestamp")
+    return bulk.upload(empty, docs, ["is part of", "is kind of", "is located in"], F.to_timestamp(F.lit("2024-06-01 00:00:00")))
+
+
+@query("s56_bulk_upload", "SELECT DISTINCT src, replace(label, '_', ' ') AS label, dst FROM kg_edges WHERE edge_ord % 9 <> 0")
+def s56(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uploaded(spark, sf_dir)[0].select("src", "label", "dst")
+
+
+@query(
+    "s56_bulk_rejects",
+    """
+SELECT edge_ord AS doc_id, 'decompose' AS stage, NULL AS sentence, 'the text has no sentence' AS error FROM kg_edges WHERE edge_ord % 9 = 0
+UNION ALL SELECT edge_ord, 'extract', 'Nothing is said about it here.', 'no predicate is in the sentence' FROM kg_edges WHERE edge_ord % 7 = 0 AND edge_ord % 9 <> 0
+""",
+)
+def s56r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uploaded(spark, sf_dir)[1]
 
 
 # ---- timings, topics, feedback, counts
