@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from triplewright.operators import boundary, gate, novelty, triples
+from triplewright.operators import boundary, bulk, gate, novelty, triples
 
 
 def answers(spark, *raws):
@@ -128,6 +128,16 @@ def test_patterns(spark):
     found = sorted((r["subject"], r["predicate"], r["object"]) for r in got if r["subject"])
     assert found == [("Bias", "is part of", "data"), ("Data", "is a", "thing"), ("noise", "is part of", "data")]
     assert sum(r["subject"] is None for r in got) == 2
+    assert triples.unhandled(triples.by_patterns(rows, ["is"])).columns == ["sentence"]
+    several = spark.createDataFrame([("A and B is part of C, D and E.",), ("x is . .",)], "sentence string")
+    got = {(r["subject"], r["object"]) for r in triples.by_patterns(several, ["is part of", "is"]).collect()}
+    assert got == {(a, b) for a in "AB" for b in "CDE"} | {("x", ". ")} or got == {(a, b) for a in "AB" for b in "CDE"} | {("x", ". .")}
+    whole = {(r["subject"], r["object"]) for r in triples.by_patterns(several, ["is part of"], objects=False).collect()}
+    assert ("A", "C, D and E") in whole
+    many = [f"does {i} things with" for i in range(10_000)] + ["is part of"]
+    wide = triples.by_patterns(several, many)
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert size(wide) < 2 * size(triples.by_patterns(several, ["is part of"])) and wide.where("predicate = 'is part of'").count() == 6
     split = triples.training_split(spark.range(2000).select(F.col("id").cast("string").alias("sentence")), 0.8)
     assert 1500 < split.where("is_training").count() < 1700
 
@@ -149,6 +159,57 @@ def test_a_caller_and_decomposition(spark):
     assert [(r["doc_id"], r["id"], r["quality"]) for r in got] == [(1, 0, "A"), (1, 1, "B")]
 
 
+def test_policies_for_failed_batches(spark):
+    rows = spark.createDataFrame([(d, i, f"{d}{i}") for d in (1, 2) for i in range(5)] + [(3, 0, "30")], "doc_id long, ord int, text string")
+    sent = boundary.prompts(boundary.batched(rows, 1, ["doc_id"], ["ord"]), "decompose", ["doc_id"], "text")
+    text = F.get_json_object("payload_json", "$.items[0].text")
+    raw = F.concat(F.lit('{"results": [{"id": 0, "qualities": ["'), text, F.lit('"]}]}'))
+    said = sent.select("prompt_hash", F.when(~text.isin("12", "13", "30"), raw).alias("raw")).where("raw is not null or prompt_hash > 'a'")
+    ask = lambda policy: {r["quality"] for r in boundary.decomposed(rows, said, 1, ["doc_id"], ["ord"], "text", on_error=policy).collect()}
+    assert ask("empty") == {"10", "11", "14", "20", "21", "22", "23", "24"}
+    assert ask("stop") == {"10", "11", "20", "21", "22", "23", "24"}
+    assert boundary.failed_batches(sent, said, ["doc_id"]).count() == 3
+    with pytest.raises(ValueError):
+        ask("skip")
+    alone = boundary.prompts(boundary.batched(rows, 1, ["doc_id"], ["ord"]), "decompose_text", ["doc_id"], "text")
+    said = alone.where(text != "13").select("prompt_hash", F.concat(F.lit('{"qualities": ["'), text, F.lit('", " "]}')).alias("raw"))
+    each = lambda policy: {r["quality"] for r in boundary.decomposed(rows, said, 9, ["doc_id"], ["ord"], "text", on_error=policy, mode="sentences").collect()}
+    assert len(each("empty")) == 10 and len(each("stop")) == 9
+    with pytest.raises(Exception, match="no answer"):
+        each("fail")
+
+
+def test_gate_by_meaning_reaches_every_kind(spark):
+    rows = [(0, 0, "risk risk data"), (1, 0, "peril data"), (2, 0, "the of and"), (3, 0, ""), (4, 0, "near"), (5, 0, "far close low wide")]
+    docs = spark.createDataFrame(rows, "doc_id long, ord int, body string")
+    place = {"risk": [1.0, 0.0, 0.0], "near": [0.9, 0.43589, 0.0], "close": [0.8, 0.6, 0.0]}
+
+    def encode(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for words in batch:
+                v = [sum(x) for x in zip(*[place.get(w, [0.0, 0.0, 1.0]) for w in words])] or [0.0] * 3
+                n = sum(x * x for x in v) ** 0.5 or 1
+                out.append([x / n for x in v])
+            yield pd.Series(out)
+
+    got = {r["doc_id"]: r for r in gate.filter_by_meaning(docs, "risk", ["peril"], encoder=encode).collect()}
+    assert [got[i]["match_type"] for i in range(6)] == ["exact", "synonym", None, None, "near_paragraph_global", "near_paragraph_keywords"]
+    assert got[0]["score"] is None and round(got[4]["score"], 3) == 0.9 and round(got[5]["score"], 3) == 0.8 and not got[3]["is_matched"]
+
+
+def test_bulk_upload_carries_what_failed(spark):
+    rows = [(1, "s", "Bias is part of data. Nothing follows here at all."), (2, None, None), (3, "s", "short."), (4, "t", "Noise and bias are kinds of error.")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    empty = spark.createDataFrame([], "edge_ord long, src string, dst string, label string, source string, sentence string, created_at timestamp, last_updated_at timestamp")
+    snapshot, rejects = bulk.upload(empty, docs, ["is part of", "are kinds of"], F.current_timestamp())
+    assert {(r["src"], r["label"], r["dst"], r["source"]) for r in snapshot.collect()} == {("Bias", "is part of", "data", "s"), ("Noise", "are kinds of", "error", "t"), ("bias", "are kinds of", "error", "t")}
+    assert sorted((r["doc_id"], r["stage"]) for r in rejects.collect()) == [(1, "extract"), (2, "decompose"), (3, "decompose")]
+    assert bulk.upload(empty, docs.limit(0), ["is"], F.current_timestamp())[1].count() == 0
+
+
 def test_classified(spark):
     sent = spark.createDataFrame([(0, "a", 0.5)], "id long, quality string, max_score double")
     kind = "id long, pos int, decision string, rationale string, novel_spans array<string>, matched_neighbor_sentence string, confidence string"

@@ -179,7 +179,7 @@ def decomposed(
         said = parsed(answers.where("raw is not null")).select("prompt_hash", F.slice(qualities_of(F.col("value")), 1, cap).alias("qualities"))
         found = asked.join(said.dropDuplicates(["prompt_hash"]), "prompt_hash", policy)
         if on_error == "fail":
-            found = found.withColumn("id", F.when(F.col("qualities").isNull(), F.raise_error(F.lit("a text has no answer"))).otherwise(F.col("id")))
+            found = found.withColumn("qualities", F.coalesce("qualities", F.raise_error(F.lit("a text has no answer")).cast("array<string>")))
     else:
         found = batch_qualities(asked, answers, cap, on_error)
     if on_error == "stop":
