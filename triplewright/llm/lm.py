@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -84,7 +85,8 @@ _held: dict[tuple, Dictionary] = {}
 
 
 def _dictionary(shared: Broadcast, settings: Settings) -> Dictionary:
-    key = len(shared.value[0]), *shared.value[2:], settings
+    words, counts, *rest = shared.value
+    key = hashlib.sha256(words + counts.tobytes()).digest(), *rest, settings
     if key not in _held:
         _held.clear()
         _held[key] = Dictionary(*shared.value, settings)
