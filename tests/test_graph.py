@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from triplewright.operators import graph, records
 
 EDGES = "edge_ord long, src string, dst string, label string, source string, sentence string"
@@ -59,3 +60,17 @@ def test_relations_and_metadata(spark):
     asked = spark.createDataFrame([("Bias",), ("bias",)], "keyword string")
     names = spark.createDataFrame([("bias",)], "keyword string")
     assert {r["keyword"]: r["allowed"] for r in records.allowed(asked, names).collect()} == {"Bias": False, "bias": True}
+
+
+def test_distance_meets_in_the_middle(spark, monkeypatch):
+    chain = [(i, f"n{i}", f"n{i + 1}") for i in range(30)] + [(100 + i, "hub", f"leaf{i}") for i in range(200)] + [(300, "n29", "hub")]
+    rows = spark.createDataFrame(chain, "edge_ord long, src string, dst string").selectExpr("*", "'to' AS label")
+    steps = []
+    real = graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: steps.append(1) or real(df))
+    assert graph.distance(rows, "n10", "n16") == 6 and len(steps) == 7  # the edges, then a front each
+    monkeypatch.undo()
+    assert graph.distance(rows, "leaf3", "leaf5") == 2 and graph.distance(rows, "leaf3", "n28") == 3
+    assert graph.distance(rows, "n1", "n1") == 0 and graph.distance(rows, "n1", "nowhere") is None
+    with pytest.raises(RuntimeError):
+        graph.distance(rows, "n0", "n9", most_steps=4)

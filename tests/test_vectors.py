@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triplewright.functions import encoder
-from triplewright.operators import retrieval, topics, vectors
+from triplewright.operators import postings, retrieval, topics, vectors
 from triplewright.plans.base import vectors as sides
 from triplewright.plans.registry import queries
 
@@ -102,6 +102,22 @@ def test_bm25_and_fusion(spark):
     assert [r["doc_id"] for r in retrieval.expanded(said, docs).collect()] == [2]
 
 
+def test_posting_blocks_equal_bm25(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    vocab = np.array([f"w{i}" for i in range(60)])
+    p = 1 / np.arange(1, 61)
+    rows = [(i, " ".join(rng.choice(vocab, rng.integers(0, 40), p=p / p.sum()))) for i in range(400)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "W40 w50"), (8, "w0 w0 w1"), (9, "nothing"), (10, "w59"), (11, "w3 w30 w33")], "query_id long, text string")
+    path = str(tmp_path / "index")
+    postings.build(docs, path, block=20, folders=3)
+    got = sorted(map(tuple, postings.search(spark, path, asked, 5).collect()))
+    assert got == sorted(map(tuple, retrieval.bm25(docs, asked, 5).collect())) and len(got) >= 15
+    none = str(tmp_path / "none")
+    postings.build(docs.limit(0), none)
+    assert postings.search(spark, none, asked).count() == 0
+
+
 def test_diverse_prefers_difference(spark):
     items = rows(spark, [[1, 0], [1, 0], [0.0, 1.0]])
     hits = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.9), (0, 2, 0.6)], "query_id long, item_id long, score double")

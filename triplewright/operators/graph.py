@@ -62,14 +62,40 @@ def reachable(edges: DataFrame, start: DataFrame, most_steps: int = 1000) -> Dat
     raise RuntimeError(f"more than {most_steps} steps")
 
 
+def distance(edges: DataFrame, one: str, two: str, most_steps: int = 1000) -> int | None:
+    """The fewest steps between two nodes, either way along edges; None if there is no way.
+
+    Both ends go out in turn, the smaller front first, and stop when they meet, so that a graph is
+    walked half as deep from each as from one, and nothing beyond. A front that is small enough goes to
+    the edges (AQE broadcasts by measured size), so a hub's edges stay where they are.
+    """
+    if one == two:
+        return 0
+    spark = edges.sparkSession
+    pairs = undirected(edges).select("node", "other").distinct()
+    starts = [spark.createDataFrame([(n, 0)], "node string, steps int") for n in (one, two)]
+    seen, front, size, depth, pairs = list(starts), list(starts), [1, 1], [0, 0], checkpointed(pairs)
+    while sum(depth) < most_steps:
+        a = 0 if size[0] <= size[1] else 1
+        depth[a] += 1
+        new = pairs.join(front[a].select("node"), "node").select(F.col("other").alias("node")).distinct()
+        front[a] = checkpointed(new.join(seen[a].select("node"), "node", "left_anti").withColumn("steps", F.lit(depth[a])))
+        met = front[a].join(seen[1 - a].select("node", F.col("steps").alias("there")), "node").agg(F.min("there")).first()[0]
+        if met is not None:
+            return depth[a] + met
+        size[a] = front[a].count()
+        if not size[a]:
+            return None
+        seen[a] = seen[a].union(front[a])
+    raise RuntimeError(f"more than {most_steps} steps")
+
+
 def siblings(edges: DataFrame, node: str, predicate: str, risk: str) -> DataFrame:
     """Nodes with a parent in common with ``node`` by ``predicate``, if it is linked with ``risk`` at any depth."""
-    spark = edges.sparkSession
-    from_node = reachable(edges, spark.createDataFrame([(node,)], "node string")).where(F.col("node") == risk)
     up = edges.where(F.col("label") == predicate).select("src", "dst").distinct()
     parents = up.where(F.col("src") == node).select("dst")
     found = up.join(parents, "dst", "left_semi").where(F.col("src") != node).select(F.col("src").alias("sibling")).distinct()
-    return found.withColumn("__risk", F.lit(risk)).join(from_node.select(F.col("node").alias("__risk")), "__risk", "left_semi").drop("__risk")
+    return found if distance(edges, node, risk) is not None else found.limit(0)
 
 
 def one_hop(edges: DataFrame, predicate: str, target: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encoder
 from ..functions import text
-from ..operators import retrieval, vectors
+from ..operators import postings, retrieval, vectors
+from ..steps import shared_folder
 from .base import kg_edges, paragraphs, query, table
 from .base import vectors as sides
 
@@ -91,6 +94,14 @@ def s52c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(*_lexical(spark, sf_dir)).withColumn("score", F.round("score", 3))
 
 
+@query("s52c_posting_blocks", BM25 + "SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 3) AS score FROM bm WHERE rank <= 4")
+def s52i(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, asked = _lexical(spark, sf_dir)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    postings.build(docs, path)
+    return postings.search(spark, path, asked).withColumn("score", F.round("score", 3))
+
+
 @query("s52d_diverse")
 def s52d(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, given = sides(spark, sf_dir)
