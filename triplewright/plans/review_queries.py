@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bulk, merge, metrics, novelty, records, review, store, topics, triples, vectors
+from ..sources import readers
 from ..steps import checkpointed, shared_folder
 from .base import kg_edges, paragraphs, qualities, query, table
 from .base import vectors as sides
@@ -558,3 +559,23 @@ def s88(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, given = sides(spark, sf_dir)
     rows = vectors.filter_by_similarity(asked.select("id"), vectors.top_k(asked, given, 5, others=True), 5, 0.25)
     return metrics.stage_counts(rows, "kept", "num_kept", "num_dropped")
+
+
+@query("s57_log_sink", "SELECT doc_id, n_chars, lang AS run_id, 'chunks' AS stage FROM documents")
+def s57(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of every document, written as a stage's sink does, a run a language, and read again."""
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    for lang in [r["lang"] for r in docs.select("lang").distinct().collect()]:  # a few names
+        merge.write_log(docs.where(F.col("lang").eqNullSafe(lang)).drop("lang"), base, "chunks", lang)
+    return spark.read.schema("doc_id long, n_chars long, stage string, run_id string").json(base)
+
+
+@query("s11_feedback_source", "SELECT conv_id || '/' || turn AS id, role AS username FROM conversations")
+def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback rows as CSV with a header, read by the source."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.lit(None).cast("timestamp").alias("ts"), F.col("role").alias("username"))
+    rest = readers.empty_feedback(spark).columns[3:]
+    rows.withColumns({c: F.lit(None).cast("string") for c in rest}).write.csv(path, header=True)
+    return readers.read_feedback(spark, path).select("id", "username")
