@@ -199,3 +199,19 @@ def test_stream_of_files_grows_the_graph(spark, tmp_path):
         ingest.ingest(spark, str(folder), base, str(tmp_path / "check"), ["is part of"]).awaitTermination()
     rows = store.read(spark, base).collect()
     assert sorted((r["src"], r["dst"]) for r in rows) == [("Bias", "data"), ("Noise", "data")]
+
+
+def test_exported_triples_and_sentences(spark):
+    rows = [
+        (1, "s1", "a", "is", "b", False), (2, "s2", "c", "has", "d", False), (3, "s1", " a ", "is", "b", False),
+        (4, "s1", "e", " ", "f", False), (5, "s3", "g", "is", "h", True), (6, "s1", "x", "is", "y", None), (7, "", "p", "is", "q", False),
+    ]
+    df = spark.createDataFrame(rows, "ord long, sentence string, subject string, predicate string, object string, deleted boolean")
+    payload = review.upsert_payload(df)
+    got = sorted(tuple(r) for r in review.triple_export(payload, "k").collect())
+    assert got == [
+        ("k", 1, "s1", 0, "a", "is", "b"), ("k", 1, "s1", 1, "x", "is", "y"), ("k", 2, "s2", 0, "c", "has", "d"), ("k", 7, "", 0, "p", "is", "q"),
+    ]
+    assert review.triple_export(payload, None).where("keyword is not null").count() == 0
+    assert sorted(r["line"] for r in review.numbered(review.payload_sentences(payload)).collect()) == ["1. s1", "2. s2"]
+    assert review.triple_export(review.upsert_payload(df.limit(0)), "k").count() == 0

@@ -104,6 +104,20 @@ def numbered(records: DataFrame) -> DataFrame:
     return first.select(F.concat(nth, F.lit(". "), F.col("sentence")).alias("line"))
 
 
+def triple_export(payload: DataFrame, keyword: str | None) -> DataFrame:
+    """keyword, first, sentence, pos, subject, predicate, object: the triples that the payload would upsert, a row each.
+
+    No keyword stays null. A payload without triples gives no rows; its sentences are numbered(payload_sentences(payload)).
+    """
+    rows = payload.select(F.lit(keyword).cast("string").alias("keyword"), "first", "sentence", F.posexplode("triplets").alias("pos", "t"))
+    return rows.select("keyword", "first", "sentence", "pos", *[F.col("t")[c].alias(c) for c in ("subject", "predicate", "object")])
+
+
+def payload_sentences(payload: DataFrame) -> DataFrame:
+    """edge_ord, sentence: the sentences of a payload that are not empty, in the order first seen."""
+    return payload.where("sentence <> ''").select(F.col("first").alias("edge_ord"), "sentence")
+
+
 def grouped_export(rows: DataFrame) -> DataFrame:
     """place, Group, Sentence, Similarity: NEW, PARTIALLY NEW, EXISTING, each sentence once at its best score."""
     place = F.when(F.col("decision") == "NEW", 1).when(F.col("decision") == "PARTIALLY_NEW", 2).otherwise(3)

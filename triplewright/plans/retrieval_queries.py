@@ -149,7 +149,18 @@ def s52g(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.contexts(retrieval.bm25(docs, asked), docs, "Context:").select("query_id", F.sha2("context", 256).alias("context_sha256"))
 
 
-@query("s52h_expanded_sentences")
+#: The same over the sentences of edges, asked by those into one node.
+SENTENCES = BM25.replace("FROM documents", "FROM e").replace("FROM benchmark", "FROM asked").replace(
+    "WITH w AS",
+    "WITH e AS (SELECT edge_ord AS doc_id, lower(sentence) AS text FROM kg_edges), "
+    "asked AS (SELECT DISTINCT sentence AS item_id, sentence AS text FROM kg_edges WHERE dst = 'EUROPE'), w AS",
+)
+
+
+@query(
+    "s52h_expanded_sentences",
+    SENTENCES + "SELECT query_id AS sentence, rank::INTEGER AS rank, doc_id FROM bm JOIN e USING (doc_id) WHERE rank <= 4 AND text <> query_id",
+)
 def s52h(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = kg_edges(spark, sf_dir)
     from ..operators.graph import sentences_into

@@ -322,6 +322,32 @@ def s81(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qualities(spark, sf_dir).select(F.col("quality").alias("sentence")).distinct()
 
 
+KEPT = """
+WITH a AS (SELECT dst AS sentence, trim(src) AS subject, label AS predicate, dst AS object, min(edge_ord) AS ord FROM kg_edges
+  WHERE edge_ord % 7 <> 0 AND edge_ord % 11 <> 0 GROUP BY ALL)
+"""
+
+
+@query(
+    "s81_exported_triples",
+    KEPT
+    + """
+SELECT 'Places and Kinds' AS keyword, min(ord) OVER (PARTITION BY sentence) AS first, sentence,
+  (row_number() OVER (PARTITION BY sentence ORDER BY ord) - 1)::INTEGER AS pos, subject, predicate, object FROM a
+""",
+)
+def s81t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.triple_export(review.upsert_payload(_reviewed(spark, sf_dir)), "Places and Kinds")
+
+
+@query(
+    "s81_exported_sentences",
+    KEPT + "SELECT row_number() OVER (ORDER BY min(ord), sentence) || '. ' || sentence AS line FROM a GROUP BY sentence",
+)
+def s81s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.numbered(review.payload_sentences(review.upsert_payload(_reviewed(spark, sf_dir))))
+
+
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("edge_key"), F.when(good, "Accept").otherwise("reject").alias("decision"))
