@@ -83,7 +83,18 @@ def s62(spark: SparkSession, sf_dir: str) -> DataFrame:
     return novelty.aligned(sent, received)
 
 
-@query("s63_rule_verdicts")
+@query(
+    "s63_rule_verdicts",
+    TOP
+    + r"""
+, b AS (SELECT query_id AS id, max(score) AS high, 'edge ' || (query_id // 100) || ' holds' AS quality,
+  arg_min('edge ' || item_id, rank) FILTER (rank <= 3 AND item_id % 20 <> 0) AS best FROM top WHERE rank <= 5 GROUP BY query_id),
+w AS (SELECT *, list_filter(regexp_extract_all(lower(quality), '[\p{L}\p{N}_]+'),
+  lambda x: NOT list_contains(regexp_extract_all(lower(coalesce(best, '')), '[\p{L}\p{N}_]+'), x)) AS spans FROM b)
+SELECT id, CASE WHEN best IS NULL OR high < 0.45 THEN 'NEW' WHEN high >= 0.9 AND len(spans) = 0 THEN 'EXISTING' ELSE 'PARTIALLY_NEW' END AS decision,
+  array_to_string(spans, '|') AS spans FROM w
+""",
+)
 def s63(spark: SparkSession, sf_dir: str) -> DataFrame:
     return novelty.by_rules(novelty.inputs(_neighbours(spark, sf_dir))).select("id", "decision", F.array_join("novel_spans", "|").alias("spans"))
 
