@@ -215,3 +215,14 @@ def test_classified(spark):
     kind = "id long, pos int, decision string, rationale string, novel_spans array<string>, matched_neighbor_sentence string, confidence string"
     got = novelty.classified(sent, spark.createDataFrame([(0, 0, "new", None, None, None, "1")], kind)).first()
     assert (got["decision"], got["confidence"], got["quality"]) == ("NEW", 1.0, "a")
+
+
+def test_batches_of_a_group_in_many_ranges(spark):
+    rows = [("hot", i) for i in range(5000)] + [(None, i) for i in range(7)] + [(f"d{j}", i) for j in range(40) for i in range(j % 5)]
+    df = spark.createDataFrame(rows, "doc string, ord int").repartition(8)
+    got = {(r["doc"], r["ord"]): (r["batch_id"], r["id"], r["running"]) for r in boundary.batched(df, 3, ["doc"], ["ord"]).collect()}
+    assert got == {(d, i): (i // 3, i % 3, i) for d, i in rows}
+    running = boundary.batched(df, 10, [], ["doc", "ord"]).orderBy("running").collect()
+    assert [r["running"] for r in running] == list(range(len(rows)))
+    assert [(r["doc"], r["ord"]) for r in running] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert boundary.batched(df.limit(0), 3, ["doc"], ["ord"]).count() == 0

@@ -11,16 +11,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..steps import checkpointed
 
 
 def batched(rows: DataFrame, n: int, by: list[str], order: list[str]) -> DataFrame:
-    """``rows`` with batch_id and id within the batch: each ``n`` rows in a row of a group."""
+    """``rows`` with batch_id, id within the batch and running: each ``n`` rows in a row of a group.
+
+    Rows are dealt to ranges of group and order, so that a large group is in many tasks; each range counts its own rows,
+    after how many of the group lie in ranges before it. A range begins within one group at most, so that there are no
+    more such sums than ranges. Ties in ``order`` get numbers in any order. Null is a group like any other.
+    """
     if n < 1:
         raise ValueError("a batch holds at least one row")
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return rows.withColumn("__at", at).withColumns(
-        {"batch_id": F.floor(F.col("__at") / n), "id": F.col("__at") % n, "running": F.col("__at")}
-    ).drop("__at")
+    dealt = rows.repartitionByRange(*by, *order) if by or order else rows
+    dealt = checkpointed(dealt.withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range", *by).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__range")) - F.col("__n")
+    later = sizes.select(F.col("__range").alias("__in"), *[F.col(c).alias(f"__{c}") for c in by], before.alias("__before")).where("__before > 0")
+    same = F.col("__range") == F.col("__in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    own = F.row_number().over(Window.partitionBy("__range", *by).orderBy(*order)) - 1
+    # at most a row per range
+    placed = dealt.withColumn("__own", own).join(F.broadcast(later), same, "left")
+    at = (F.col("__own") + F.coalesce("__before", F.lit(0))).cast("int")
+    numbers = {"batch_id": F.floor(at / n), "id": at % n, "running": at}
+    return placed.withColumns(numbers).select(*[c for c in rows.columns if c not in numbers], *numbers)
 
 
 def prompts(batches: DataFrame, stage: str, by: list[str], text_col: str, id_col: str = "id") -> DataFrame:
