@@ -90,3 +90,10 @@ def test_registered_query(spark, data):
     want = linked([fingerprint(docs[i]) for i in ids], 3)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op5_simhash(spark, data).collect()}
     assert got == {i: (f"{fingerprint(docs[i]):016x}", ids[w]) for i, w in zip(ids, want, strict=True)}
+
+
+def test_roots_of_a_forest(spark):
+    rows = [(i, i - 1) for i in range(2, 40)] + [(101, 100), (102, 100), (103, 102)]
+    found = {r["node"]: r["root"] for r in components.roots(spark.createDataFrame(rows, "node long, root long")).collect()}
+    assert found == {**{i: 1 for i in range(2, 40)}, 101: 100, 102: 100, 103: 100}
+    assert components.roots(spark.createDataFrame([], "node long, root long")).count() == 0

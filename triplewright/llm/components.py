@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, stored
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -38,3 +38,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def roots(parents: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) of each node of a forest: ``parents(node, root)`` names one other node above each, the smaller one.
+
+    Pointer jumping: in a round each node goes to where the one above it points, so that rounds grow with the logarithm
+    of the depth. A root has no row. Nulls are not expected; no rows give none.
+    """
+    now = stored(parents.select("node", "root"))
+    for _ in range(most_rounds):
+        above = now.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        now = stored(now.select("node", "root").join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")))
+        if now.where("moved").isEmpty():
+            return now.select("node", "root")
+    raise RuntimeError(f"roots were not reached in {most_rounds} rounds")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, stored, text_of
-from .components import components
+from .components import components, roots
 
 #: Every second bit; a segment is two bits, and its count 0, 1 or 2 takes their place.
 LOW_BITS = 0x5555555555555555
@@ -352,8 +352,8 @@ def _sets(words: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles have at least that Jaccard similarity."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, also: list[str] = []) -> DataFrame:  # noqa: B006
+    """The pairs (a, b and the long columns ``also``) whose sets of shingles have at least that Jaccard similarity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -362,10 +362,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 s, t = np.frombuffer(s, dtype="<u8"), np.frombuffer(t, dtype="<u8")
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(both >= similarity * (len(s) + len(t) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.loc[keep, ["a", "b", *also]]
 
     of = lambda end, name: sets.select(F.col("point").alias(end), F.col("shingles").alias(name))
-    return pairs.select("a", "b").join(of("a", "s"), "a").join(of("b", "t"), "b").mapInPandas(run, "a long, b long")
+    both = pairs.select("a", "b", *also).join(of("a", "s"), "a").join(of("b", "t"), "b")
+    return both.mapInPandas(run, ", ".join(f"{c} long" for c in ["a", "b", *also]))
 
 
 def similar_documents(
@@ -405,15 +406,17 @@ def similar_documents(
     texts = named.join(involved, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("body") == F.col("of_body")))
     sets = stored(texts.select("point", "text").mapInPandas(_sets(words), "point long, shingles binary").dropDuplicates(["point"]))
     closest = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = stored(_verified(closest, sets, similarity))
-    group = stored(components(links))
-    root = lambda end: group.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    # a pair's a is the smaller, so that the closest ones make a forest
+    tree = roots(_verified(closest, sets, similarity).select(F.col("b").alias("node"), F.col("a").alias("root")))
+    root = lambda end: tree.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
     rest = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
-    links = links.union(_verified(rest, sets, similarity))
-
-    roots = components(links).withColumnRenamed("node", "point")
-    member = stored(points.join(roots, "point", "left").select("fp", "fp2", F.coalesce("root", "point").alias("root"), "first"))
+    rest = rest.withColumns({"a_root": F.coalesce("a_root", "a"), "b_root": F.coalesce("b_root", "b")}).where("a_root <> b_root")
+    # groups of trees: a link between two counts as one between their roots
+    links = _verified(rest, sets, similarity, ["a_root", "b_root"])
+    groups = components(links.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    member = points.join(tree.select(F.col("node").alias("point"), F.col("root").alias("of")), "point", "left")
+    member = member.withColumn("of", F.coalesce("of", "point")).join(groups.withColumnRenamed("node", "of"), "of", "left")
+    member = stored(member.select("fp", "fp2", F.coalesce("root", "of").alias("root"), "first"))
     lead = member.groupBy("root").agg(F.min("first").alias("lead"))
     of = member.join(lead, "root").select("fp", "fp2", "lead")
     same = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("body") == F.col("lead.body"))
