@@ -33,6 +33,26 @@ def test_top_k_equals_brute_force(spark):
     assert vectors.top_k(rows(spark, q), rows(spark, x).limit(0), 3).count() == 0
 
 
+def test_top_k_compares_equal_vectors_once(spark, monkeypatch):
+    pairs, real = [], vectors._best
+
+    def best(queries, items, *rest):
+        pairs.append(queries.count() * items.count())
+        return real(queries, items, *rest)
+
+    monkeypatch.setattr(vectors, "_best", best)
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (12, 3))[rng.integers(0, 12, 400)]
+    s = (u := x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)) @ u.T
+    for others in (False, True):
+        got = vectors.top_k(rows(spark, x), rows(spark, x), 7, others=others).toPandas()
+        for i in range(len(x)):
+            best_ids = sorted((j for j in range(len(x)) if not others or j != i), key=lambda j: (-round(s[i, j], 9), j))[:7]
+            mine = got[got.query_id == i].sort_values("rank")
+            assert list(mine.item_id) == best_ids and list(mine["rank"]) == list(range(1, 8))
+    assert max(pairs) <= 12 * 12  # 160,000 before
+
+
 def test_unit_checks_the_dimension(spark):
     with pytest.raises(Exception, match="not 3 parts"):
         rows(spark, [[1, 2]]).select(vectors.unit(F.col("vec"), 3)).collect()

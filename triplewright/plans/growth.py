@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import encoder, text
 from ..operators import graph, merge, novelty, triples, vectors
 from ..params import Params
-from ..steps import checkpointed
+from ..steps import checkpointed, written
 from .base import kg_edges, query
 
 PREDICATES = ("is part of", "is located in", "is kind of")
@@ -19,7 +19,8 @@ def candidates(qualities: DataFrame, edges: DataFrame, params: Params) -> DataFr
     said = text.relation_text(F.col("sentence"), F.col("src"), F.col("label"), F.col("dst"))
     told = edges.select(F.col("edge_ord").alias("id"), said.alias("text"))
     asked = checkpointed(qualities.select("id", F.col("quality").alias("text")))
-    hits = vectors.top_k(encoder.encoded(asked), encoder.encoded(told), params.top_k)
+    # written, since the search passes over them several times; Parquet keeps the few distinct parts in a dictionary
+    hits = vectors.top_k(written(encoder.encoded(asked)), written(encoder.encoded(told)), params.top_k)
     rows = vectors.filter_by_similarity(asked.withColumnRenamed("text", "quality"), hits, params.top_k, params.threshold)
     near = rows.select("id", F.explode("neighbors").alias("n")).join(told.withColumnRenamed("id", "edge"), F.col("n.edge_id") == F.col("edge"))
     near = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n.rank", "n.score", F.col("text").alias("sentence")))).alias("near"))
