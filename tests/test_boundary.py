@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +69,26 @@ def test_cascade(spark):
     ]
 
 
+def test_keywords_are_scored_where_paragraphs_are(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vocab = np.array([f"w{i}" for i in range(50)] + ["the", "É1", "x"])
+    data = [(i // 4, i % 4, " ".join(rng.choice(vocab, rng.integers(0, 25)))) for i in range(200)] + [(99, 0, None), (99, 1, "--")]
+    rows = spark.createDataFrame(data, "doc_id long, ord int, body string").repartition(3)
+    words = [[w.lower() for w in (b or "").split() if len(w) >= 2 and w not in ("the", "--")] for _, _, b in data]
+    df = Counter(w for ws in words for w in set(ws))
+    want = []
+    for (doc, ord_, _), ws in zip(data, words, strict=True):
+        best = sorted((-round(tf * (math.log((1 + len(data)) / (1 + df[w])) + 1), 9), w) for w, tf in Counter(ws).items())[:3]
+        want += [(doc, ord_, i + 1, w) for i, (_, w) in enumerate(best)]
+    for frequent in (gate.FREQUENT, 20, 0):  # all words known, some, none
+        monkeypatch.setattr(gate, "FREQUENT", frequent)
+        found = gate.keywords(rows, 3)
+        if frequent > 20:  # paragraphs and their terms were shuffled before
+            plan = found._jdf.queryExecution().sparkPlan().toString()
+            assert "Window" not in plan and "Join" not in plan
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
 def test_keywords_and_gate(spark):
     rows = spark.createDataFrame([(1, 0, "The bias of the data bias"), (1, 1, "a the of"), (2, 0, "data noise")], "doc_id long, ord int, body string")
     got = gate.keywords(rows, 1).orderBy("doc_id", "ord").collect()
