@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import os
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,21 @@ def test_top_k_equals_brute_force(spark):
     assert vectors.top_k(rows(spark, q), rows(spark, x).limit(0), 3).count() == 0
 
 
+def test_a_tile_holds_few_scores_at_once():
+    rng = np.random.default_rng(6)
+    side = lambda n, start: pd.DataFrame({"id": range(start, start + n), "vec": list(rng.normal(size=(n, 4))), "shard": 0})
+    asked, given = side(2048, 0), side(8192, 1000)
+    tracemalloc.start()
+    got = vectors._tile(5, True)(asked, given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * 2**20  # some 300 MB before
+    s = np.stack(asked.vec) @ np.stack(given.vec).T
+    s[asked.id.to_numpy()[:, None] == given.id.to_numpy()[None, :]] = -np.inf
+    want = np.sort(np.maximum(s, -2.0), axis=1)[:, ::-1][:, :5]
+    assert np.allclose(got.score.to_numpy().reshape(-1, 5), want)
+
+
 def test_top_k_compares_equal_vectors_once(spark, monkeypatch):
     pairs, real = [], vectors._best
 
