@@ -69,6 +69,17 @@ def test_cascade(spark):
     ]
 
 
+def test_prompts_that_lie_written_are_not_made_again(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", i, f"t{i}") for i in range(7)], "doc string, ord int, text string")
+    sent = boundary.prompts(boundary.batched(rows, 3, ["doc"], ["ord"]), "decompose", ["doc"], "text").localCheckpoint()
+    said = sent.where("batch_id <> 1").select("prompt_hash", F.lit('{"results": [{"id": 0, "qualities": ["x"]}]}').alias("raw"))
+    want = {p: sorted(map(tuple, boundary.decomposed(rows, said, 3, ["doc"], ["ord"], "text", on_error=p).collect())) for p in ("empty", "stop")}
+    monkeypatch.setattr(boundary, "batched", None)
+    for p in want:
+        got = boundary.decomposed(rows, said, 3, ["doc"], ["ord"], "text", on_error=p, sent=sent)
+        assert sorted(map(tuple, got.collect())) == want[p] and len(want[p]) == (2 if p == "empty" else 1)
+
+
 def test_keywords_are_scored_where_paragraphs_are(spark, monkeypatch):
     rng = np.random.default_rng(5)
     vocab = np.array([f"w{i}" for i in range(50)] + ["the", "É1", "x"])

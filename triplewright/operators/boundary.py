@@ -175,19 +175,21 @@ def failed_batches(sent: DataFrame, answers: DataFrame, by: list[str]) -> DataFr
 
 def decomposed(
     rows: DataFrame, answers: DataFrame, n: int, by: list[str], order: list[str], text_col: str,
-    cap: int = 12, on_error: str = "empty", mode: str = "chunks",
+    cap: int = 12, on_error: str = "empty", mode: str = "chunks", sent: DataFrame | None = None,
 ) -> DataFrame:
     """by, batch_id, id, pos, quality: the qualities of texts in batches of ``n``, in order.
 
     ``answers`` holds what a model said to prompts(batched(rows)); a batch without one has failed. With
     on_error='empty' (batches side by side) it has no qualities; with 'stop' (one after the other)
     neither it nor a later batch of its group has; 'fail' makes it an error. With mode='sentences' each
-    text is a prompt of its own, answered by {"qualities": [...]}.
+    text is a prompt of its own, answered by {"qualities": [...]}. ``sent``: those prompts, if they lie written, as they
+    must to be answered; they are then not made again from ``rows``.
     """
     if on_error not in ("empty", "stop", "fail") or mode not in ("chunks", "sentences"):
         raise ValueError("unknown policy or mode")
     alone = mode == "sentences"
-    sent = prompts(batched(rows, 1 if alone else n, by, order), "decompose_text" if alone else "decompose", by, text_col)
+    if sent is None:
+        sent = prompts(batched(rows, 1 if alone else n, by, order), "decompose_text" if alone else "decompose", by, text_col)
     items = F.from_json("payload_json", "items array<struct<id:int,text:string>>")["items"]
     asked = sent.select(*by, "batch_id", "prompt_hash", F.explode(items).alias("i")).withColumn("id", F.col("i.id")).drop("i")
     if alone:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import boundary, gate
+from ..steps import written
 from .base import paragraphs, qualities, query, table
 
 BATCHES = """
@@ -86,10 +87,8 @@ def s43c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.explode(boundary.qualities_of(F.col("value"))).alias("quality"))
 
 
-def _batch_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """What was sent, and an answer per batch that leaves out its last item, repeats ids and adds one outside."""
-    batches = _batches(spark, sf_dir)
-    sent = boundary.prompts(batches, "decompose", ["doc_id"], "quality").select("doc_id", "batch_id", "prompt_hash", "n", "payload_json")
+def _answers_to(sent: DataFrame) -> DataFrame:
+    """An answer per prompt that leaves out its last item, repeats ids and adds one outside."""
     items = F.from_json("payload_json", "items array<struct<id:int,text:string>>")["items"]
     result = F.transform(
         F.filter(items, lambda x: x["id"] < 4),
@@ -98,8 +97,20 @@ def _batch_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     more = F.array(F.struct(F.lit("99").alias("id"), F.array(F.lit("outside")).alias("qualities")))
     early = F.array(F.struct(F.lit("0").alias("id"), F.array(F.lit("replaced later")).alias("qualities")))
     answers = sent.select("prompt_hash", F.to_json(F.struct(F.concat(early, result, more).alias("results"))).alias("raw"))
+    return answers.dropDuplicates(["prompt_hash"])
+
+
+def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of all batches, written, since what was sent and its answers are both read from them."""
+    return written(boundary.prompts(_batches(spark, sf_dir), "decompose", ["doc_id"], "quality"))
+
+
+def _batch_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What was sent, and the answers."""
+    sent = _sent(spark, sf_dir)
+    items = F.from_json("payload_json", "items array<struct<id:int,text:string>>")["items"]
     asked = sent.select("doc_id", "batch_id", "prompt_hash", F.explode(items).alias("i")).select("doc_id", "batch_id", "prompt_hash", F.col("i.id").alias("id"))
-    return asked, answers.dropDuplicates(["prompt_hash"])
+    return asked, _answers_to(sent)
 
 
 @query(
@@ -117,12 +128,11 @@ ITEMS = "SELECT doc_id, batch_id, (nr % 5)::INTEGER AS id, 0 AS pos, trim(qualit
 
 
 def _decomposed(spark: SparkSession, sf_dir: str, on_error: str) -> DataFrame:
-    _, answers = _batch_answers(spark, sf_dir)
+    sent = _sent(spark, sf_dir)
     items = F.from_json("payload_json", "items array<struct<id:int,text:string>>")["items"]
-    sent = boundary.prompts(_batches(spark, sf_dir), "decompose", ["doc_id"], "quality")
-    lost = sent.where(F.length(items[0]["text"]) % 7 == 3).select("prompt_hash")
-    answers = answers.join(lost, "prompt_hash", "left_anti")
-    return boundary.decomposed(qualities(spark, sf_dir), answers, 5, ["doc_id"], ["ord", "pos"], "quality", on_error=on_error)
+    # equal prompts have equal first texts, so a failed one is left out before it is answered
+    answers = _answers_to(sent.where(~F.coalesce(F.length(items[0]["text"]) % 7 == 3, F.lit(False))))
+    return boundary.decomposed(qualities(spark, sf_dir), answers, 5, ["doc_id"], ["ord", "pos"], "quality", on_error=on_error, sent=sent)
 
 
 @query(
@@ -147,10 +157,10 @@ def s45p(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s45s(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prompt a text."""
     rows, by, order = qualities(spark, sf_dir), ["doc_id"], ["ord", "pos"]
-    sent = boundary.prompts(boundary.batched(rows, 1, by, order), "decompose_text", by, "quality")
+    sent = written(boundary.prompts(boundary.batched(rows, 1, by, order), "decompose_text", by, "quality"))
     text = F.from_json("payload_json", "items array<struct<id:int,text:string>>")["items"][0]["text"]
     answers = sent.select("prompt_hash", F.to_json(F.struct(F.array(text, F.lit(" ")).alias("qualities"))).alias("raw")).dropDuplicates(["prompt_hash"])
-    return boundary.decomposed(rows, answers, 1, by, order, "quality", on_error="stop", mode="sentences")
+    return boundary.decomposed(rows, answers, 1, by, order, "quality", on_error="stop", mode="sentences", sent=sent)
 
 
 @query(
