@@ -202,3 +202,42 @@ def test_topics(spark):
     assert sum(r["is_representative"] for r in docs.values()) == 6 and docs["dogs3"]["top_words"] == "bark - bone - dog"
     told = topics.report(found, words, topics.matched(words, found, "cat", []), "cat", []).first()
     assert told["n_paragraphs"] == 27 and told["n_topics"] == 3 and told["matched"][0]["topic_id"] == 1
+
+
+def _records_shuffled(spark) -> int:
+    """Records that all stages so far wrote to a shuffle."""
+    store, total, stage = spark.sparkContext._jsc.sc().statusStore(), 0, 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    last = spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+    for stage in range(last):
+        try:
+            total += store.lastStageAttempt(stage).shuffleWriteRecords()
+        except Exception:  # a stage that was skipped has no attempt
+            continue
+    return total
+
+
+def test_a_query_goes_once_to_a_part_of_the_cells_it_looks_into(spark):
+    x = np.random.default_rng(12).normal(size=(2000, 16))
+    points = rows(spark, x).localCheckpoint()
+    before = _records_shuffled(spark)
+    got = vectors.approximate_top_k(points, points, 5, recall=1.0, others=True).toPandas()
+    assert _records_shuffled(spark) - before < 20 * len(x)  # it was sent to each of its cells, some 40
+    want = vectors.top_k(points, points, 5, others=True).toPandas()
+    key = ["query_id", "rank"]
+    a, b = got.sort_values(key), want.sort_values(key)
+    assert a["item_id"].tolist() == b["item_id"].tolist() and np.allclose(a["score"], b["score"])
+
+
+def test_hits_of_many_parts_and_of_equal_vectors_are_exact(spark):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=(900, 8)), np.repeat(rng.normal(size=(3, 8)), 200, axis=0)])
+    got = vectors.approximate_top_k(rows(spark, x), rows(spark, x), 4, recall=1.0, query_tile=100, shard_rows=150, others=True).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(scores, -9)
+    for i in range(0, len(x), 7):
+        mine = got[got.query_id == i].sort_values("rank")
+        assert np.allclose(mine["score"], np.sort(scores[i])[::-1][:4], atol=1e-8)
+        if i >= 900:  # copies: the smallest ids
+            assert mine["item_id"].tolist() == [j for j in range(900 + (i - 900) // 200 * 200, len(x)) if j != i][:4]
