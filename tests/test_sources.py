@@ -100,3 +100,15 @@ def test_coerced_edges(spark):
     rows = spark.createDataFrame([(None, "b", 7, None), ("t", "b", None, 1), (None, None, 1, 1)], "type string, label string, source_id long, target_id long")
     got = readers.coerced_edges(rows).collect()
     assert [(r["label"], r["source_id"], r["target_id"]) for r in got] == [("b", "7", ""), ("t", "", "1"), ("REL", "1", "1")]
+
+
+def test_chunks_of_long_texts_leave_in_batches_of_bounded_size():
+    import pyarrow as pa
+
+    texts = ["one two three. " * 20_000, None, "x" * 5_000, "\n\n" + "line of words\n" * 30_000 + "end", ""] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([1] * len(texts)), pa.array(texts)], ["doc_id", "page_number", "body"])
+    out = list(readers._chunk_batches(700, 70)(iter([batch])))
+    assert len(out) > 2 and max(sum(map(len, b.column(3).to_pylist())) for b in out) < readers.GIVEN + 700
+    got = [(r["doc_id"], r["start_index"], r["chunk"]) for b in out for r in b.to_pylist()]
+    assert got == [(i, *c) for i, t in enumerate(texts) for c in readers.chunks(t or "", 700, 70)]
+    assert list(readers._cut("\n\n\na\n\nb", "\n\n")) == ["", "\n\n\na", "\n\nb"] and list(readers._cut("ab", "")) == ["a", "b"]
