@@ -187,3 +187,22 @@ def test_language_of_odd_rows(spark):
     none = language.fit(docs.limit(0))
     assert {r["nearest"] for r in language.identify(docs, none).collect()} == {"und"}
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_counting_holds_few_copies_of_its_sequences():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 20_000))) for _ in range(110)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(["en"] * len(texts)), pa.array(texts)], ["at", "lang", "text"])
+    found = 0
+    tracemalloc.start()
+    for out in phrases._counted((0, 1), None, 64)(iter([batch])):
+        found += sum(n for size, n in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True) if size == 1)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    print("peak MB", peak)
+    assert found == 110 * 20_000
+    assert peak < 150

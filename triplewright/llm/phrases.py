@@ -16,7 +16,7 @@ from .rolling import Powers, mixed, prefixes
 #: Bytes that end a piece, and those between words; each is one byte of UTF-8 and never part of another character.
 BREAKS, BLANKS = b".,;:!?\n\x0b\f\r", b" \t"
 #: Bytes of text that are hashed at once, and word sequences that are counted together in a task.
-SLICE, TOGETHER = 1 << 20, 1 << 21
+SLICE, TOGETHER = 1 << 18, 1 << 21
 #: Bits of a sieve at most: 16 MB, whatever the corpus.
 MOST_BITS = 1 << 27
 
@@ -135,16 +135,25 @@ def _counted(sizes: tuple[int, ...], sieve: Broadcast | None, bits: int) -> Call
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal waiting
             for size in sorted({h[0] for h in held}):
-                fp, check, n, at = (np.concatenate([h[k] for h in held if h[0] == size]) for k in range(1, 5))
+                mine = [h for h in held if h[0] == size]
+                held[:] = [h for h in held if h[0] != size]
+
+                def column(k: int, mine: list = mine) -> np.ndarray:
+                    return np.concatenate([h.pop(k) for h in mine])  # one is whole at a time
+
+                at, check, n, fp = column(4), column(3), column(2) if size == 0 else None, column(1)
                 if not len(fp):
                     continue
                 order = np.argsort(fp, kind="stable")
-                fp, check = fp[order], check[order]
+                fp = fp[order]
                 edge = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
-                rows = (
-                    np.full(len(edge), size, np.int32), fp[edge].view(np.int64), np.add.reduceat(n[order], edge),
-                    np.minimum.reduceat(check, edge), np.maximum.reduceat(check, edge), np.minimum.reduceat(at[order], edge),
-                )
+                fp = fp[edge].view(np.int64)
+                n = np.diff(np.r_[edge, len(order)]) if n is None else np.add.reduceat(n[order], edge)
+                check = check[order]
+                low, high = np.minimum.reduceat(check, edge), np.maximum.reduceat(check, edge)
+                at = np.minimum.reduceat(at[order], edge)
+                del check, order
+                rows = (np.full(len(edge), size, np.int32), fp, n, low, high, at)
                 for k in range(0, len(edge), 65536):
                     yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 65536]) for c in rows], names)
             held.clear()
@@ -160,7 +169,7 @@ def _counted(sizes: tuple[int, ...], sieve: Broadcast | None, bits: int) -> Call
                 for size in sizes:
                     if size == 0:
                         n = np.bincount(words.doc, minlength=len(rows))
-                        held.append((0, mixed(langs), (langs >> np.uint64(32)).astype(np.uint32).view(np.int32), n, doc_at))
+                        held.append([0, mixed(langs), n, (langs >> np.uint64(32)).astype(np.uint32).view(np.int32), doc_at])
                         continue
                     first, fp, check = words.grams(size, lang, powers)
                     if sieve is not None and len(first):
@@ -169,7 +178,7 @@ def _counted(sizes: tuple[int, ...], sieve: Broadcast | None, bits: int) -> Call
                         where[part_at] = passes(sieve.value, part & width)
                         live = where[first] & where[first + 1]
                         first, fp, check = first[live], fp[live], check[live]
-                    held.append((size, fp & width, check, np.ones(len(fp), np.int64), doc_at[words.doc[first]]))
+                    held.append([size, fp & width, None, check, doc_at[words.doc[first]]])
                     waiting += len(fp)
                 if waiting >= TOGETHER:
                     yield from flush()
@@ -184,13 +193,13 @@ def _materialised(bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, width = Powers(), np.uint64((1 << bits) - 1)
         for batch in batches:
-            wanted = batch.column(3).to_pylist()
+            wanted = batch.column(3)  # read document by document: lists of dicts take many times the memory
             for body, bounds, rows, hashes, langs in slices(batch):
                 words, out = Words(body, bounds, powers), []
                 lang = hashes[words.doc]
                 by_size: dict[int, tuple[list, list]] = {}
                 for d, r in enumerate(rows):
-                    for w in wanted[r]:
+                    for w in wanted[int(r)].as_py():
                         if w["size"] == 0:
                             if int(mixed(hashes[d : d + 1]).view(np.int64)[0]) == w["fp"]:
                                 out.append((0, w["fp"], langs[r], "", int((hashes[d] >> np.uint64(32)).astype(np.uint32).view(np.int32))))
