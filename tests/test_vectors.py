@@ -241,3 +241,15 @@ def test_hits_of_many_parts_and_of_equal_vectors_are_exact(spark):
         assert np.allclose(mine["score"], np.sort(scores[i])[::-1][:4], atol=1e-8)
         if i >= 900:  # copies: the smallest ids
             assert mine["item_id"].tolist() == [j for j in range(900 + (i - 900) // 200 * 200, len(x)) if j != i][:4]
+
+
+def test_an_index_shuffles_texts_and_not_their_postings_or_scores(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in rng.integers(0, 300, 120))) for i in range(600)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(f"w{j}" for j in rng.integers(0, 300, 8))) for i in range(40)], "query_id long, text string")
+    before = _records_shuffled(spark)
+    postings.build(docs, str(tmp_path / "index"), block=100)
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], round(r["score"], 4)) for r in postings.search(spark, str(tmp_path / "index"), asked).collect()}
+    assert _records_shuffled(spark) - before < 15_000  # there are 59,000 postings, and 24,000 documents with a score
+    want = {(r["query_id"], r["rank"]): (r["doc_id"], round(r["score"], 4)) for r in retrieval.bm25(docs, asked).collect()}
+    assert got == want and len(got) == 160

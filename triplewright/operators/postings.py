@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..steps import written
-from .retrieval import split_words, words
+from .retrieval import SENT, split_words, words
 
 #: Documents of a block, about.
 BLOCK = 4096
@@ -26,13 +26,11 @@ def build(docs: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, epsilon:
     """
     spark = docs.sparkSession
     tokens = split_words(F.col("text"))
-    # split first: beside an explode the size would be taken again for each word
-    held = docs.select("doc_id", F.size(tokens).alias("size"), tokens.alias("words"))
-    counted = written(held.select("doc_id", "size", F.explode("words").alias("word")).groupBy("doc_id", "size", "word").agg(F.count("*").alias("tf")))
-    n = docs.count()
-    total = counted.agg(F.sum("tf")).first()[0] or 0
+    whole = docs.agg(F.count("*").alias("n"), F.sum(F.when(F.col("text").isNotNull(), F.size(tokens))).alias("total")).first()
+    n, total = whole["n"], whole["total"] or 0
     average = total / n if n else 1.0
-    spread = counted.groupBy("word").agg(F.count("*").alias("df"))
+    # each document counts a word once, so that counting starts where the documents are
+    spread = docs.select(F.explode(F.array_distinct(tokens)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     spread = written(spread.withColumn("idf", idf))
     mean = spread.agg(F.avg("idf")).first()[0] or 0.0
@@ -40,11 +38,16 @@ def build(docs: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, epsilon:
     weight = F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")).alias("idf")
     spread.select("word", "df", weight, folder).hint("rebalance", "folder").sortWithinPartitions("folder", "word").write.partitionBy("folder").parquet(f"{path}/words")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // block)))).cast("int")
-    rows = counted.withColumns({"average": F.lit(float(average)), "block": part}).withColumn("impact", _impact(k1, b))
+    # texts go to the task of their block, and postings, which are many times as large, are made and stay there
+    dealt = docs.select("doc_id", "text", part.alias("block")).repartition("block")
+    # split first: beside an explode the size would be taken again for each word
+    held = dealt.select("block", "doc_id", F.size(tokens).alias("size"), tokens.alias("words"))
+    counted = held.select("block", "doc_id", "size", F.explode("words").alias("word")).groupBy("block", "doc_id", "size", "word").agg(F.count("*").alias("tf"))
+    rows = counted.withColumn("average", F.lit(float(average))).withColumn("impact", _impact(k1, b))
     posting = F.struct("doc_id", "impact")
-    blocks = rows.groupBy("word", "block").agg(F.max("impact").alias("highest"), F.collect_list(posting).alias("postings"))
+    blocks = rows.groupBy("block", "word").agg(F.max("impact").alias("highest"), F.collect_list(posting).alias("postings"))
     blocks = blocks.select("word", "block", "highest", "postings", folder)
-    blocks.hint("rebalance", "folder").sortWithinPartitions("folder", "word").write.partitionBy("folder").parquet(f"{path}/postings")
+    blocks.sortWithinPartitions("folder", "word").write.partitionBy("folder").parquet(f"{path}/postings")
     spark.createDataFrame([(n, total, float(average), k1, b, folders)], "n long, words long, average double, k1 double, b double, folders int").coalesce(1).write.parquet(f"{path}/numbers")
 
 
@@ -63,7 +66,12 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 4, first
     asked = asked.withColumn("folder", folder)
     weights = spark.read.parquet(f"{path}/words")
     wanted = written(asked.join(weights, ["folder", "word"]).select("query_id", "folder", "word", (F.col("times") * F.col("idf")).alias("weight")))
-    table = spark.read.parquet(f"{path}/postings")
+
+    def sent(some: DataFrame) -> DataFrame:
+        return F.broadcast(some) if some.count() <= SENT else some
+
+    wanted = sent(wanted)
+    table = spark.read.parquet(f"{path}/postings").join(sent(wanted.select("folder", "word").distinct()), ["folder", "word"], "left_semi")
     bound = F.greatest(F.lit(0.0), F.col("weight") * F.col("highest"))
     blocks = table.select("folder", "word", "block", "highest").join(wanted, ["folder", "word"])
     blocks = blocks.groupBy("query_id", "block").agg(F.sum(bound).alias("bound"))
@@ -72,10 +80,12 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 4, first
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
 
     def scored(some: DataFrame) -> DataFrame:
-        # of the words first, then of the blocks: a row of the table is met by the queries that want it
-        rows = table.join(wanted.join(some.select("query_id", "block"), "query_id"), ["folder", "word", "block"])
-        hits = rows.select("query_id", "weight", F.explode("postings").alias("p"))
-        found = hits.groupBy("query_id", F.col("p.doc_id").alias("doc_id")).agg(F.round(F.sum(F.col("weight") * F.col("p.impact")), 6).alias("score"))
+        some = sent(some.select("query_id", "block"))
+        # a block's postings meet in one task, so that its sums, one for each query and document, end there as the k best
+        rows = table.join(sent(some.select("block").distinct()), "block", "left_semi").select("folder", "word", "block", "postings").repartition("block")
+        rows = rows.join(wanted, ["folder", "word"]).join(some, ["query_id", "block"])
+        hits = rows.select("block", "query_id", "weight", F.explode("postings").alias("p"))
+        found = hits.groupBy("block", "query_id", F.col("p.doc_id").alias("doc_id")).agg(F.round(F.sum(F.col("weight") * F.col("p.impact")), 6).alias("score"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
     best = written(scored(blocks.where(F.col("turn") <= first)).select("query_id", "doc_id", "score"))
