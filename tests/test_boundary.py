@@ -6,8 +6,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_vectors import _records_shuffled
 
 from triplewright.operators import boundary, bulk, gate, novelty, triples
+from triplewright.steps import written
 
 
 def answers(spark, *raws):
@@ -261,3 +263,16 @@ def test_batches_of_a_group_in_many_ranges(spark):
     assert [r["running"] for r in running] == list(range(len(rows)))
     assert [(r["doc"], r["ord"]) for r in running] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
     assert boundary.batched(df.limit(0), 3, ["doc"], ["ord"]).count() == 0
+
+
+def test_texts_that_are_prompts_alone_are_sent_for_their_place_and_their_answer_only(spark):
+    rows = spark.range(3000).selectExpr("id % 40 AS doc", "id AS ord", "concat('text ', id % 2000) AS text")
+    before = _records_shuffled(spark)
+    sent = written(boundary.prompts(boundary.batched(rows, 1, ["doc"], ["ord"]), "decompose_text", ["doc"], "text", alone=True))
+    said = sent.select("prompt_hash", F.to_json(F.struct(F.array(F.from_json("payload_json", "items array<struct<text:string>>")["items"][0]["text"]).alias("qualities"))).alias("raw"))
+    got = boundary.decomposed(rows, said, 1, ["doc"], ["ord"], "text", on_error="stop", mode="sentences", sent=sent).collect()
+    assert _records_shuffled(spark) - before < 3 * 3000  # it was 4.4 times, and longer rows
+    assert sorted((r["doc"], r["batch_id"], r["quality"]) for r in got) == sorted((i % 40, i // 40, f"text {i % 2000}") for i in range(3000))
+    some = said.where(F.col("raw") != '{"qualities":["text 1000"]}')  # its document ends there
+    left = boundary.decomposed(rows, some, 1, ["doc"], ["ord"], "text", on_error="stop", mode="sentences", sent=sent).collect()
+    assert {r["quality"] for r in got} - {r["quality"] for r in left} == {f"text {i}" for i in range(1000, 2000, 40)} and len(left) == 2950

@@ -6,12 +6,30 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..steps import checkpointed
+from ..steps import written
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with __own in place of __group: their place, from 0, in a stretch of rows of one group."""
+    last, n = None, 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        at, group = batch.schema.get_field_index("__group"), batch.column("__group")
+        changes = pc.not_equal(group.slice(1), group.slice(0, len(batch) - 1)).to_numpy(zero_copy_only=False)
+        begins = np.r_[group[0].as_py() != last, changes]
+        turn = np.arange(len(batch))
+        own = turn - np.maximum.accumulate(np.where(begins, turn, -n))
+        last, n = group[-1].as_py(), int(own[-1]) + 1
+        yield batch.set_column(at, "__own", pa.array(own))
 
 
 def batched(rows: DataFrame, n: int, by: list[str], order: list[str]) -> DataFrame:
@@ -23,26 +41,34 @@ def batched(rows: DataFrame, n: int, by: list[str], order: list[str]) -> DataFra
     """
     if n < 1:
         raise ValueError("a batch holds at least one row")
-    dealt = rows.repartitionByRange(*by, *order) if by or order else rows
-    dealt = checkpointed(dealt.withColumn("__range", F.spark_partition_id()))
+    dealt = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order) if by or order else rows
+    group = F.to_json(F.struct(*by)) if by else F.lit("")  # names what is null by leaving it out
+    dealt = dealt.withColumns({"__range": F.spark_partition_id(), "__group": group})
+    # counted where they are, since a window would send every row once more
+    dealt = written(dealt.mapInArrow(_counted, dealt.drop("__group").schema.add("__own", "long")))
     sizes = dealt.groupBy("__range", *by).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__range")) - F.col("__n")
     later = sizes.select(F.col("__range").alias("__in"), *[F.col(c).alias(f"__{c}") for c in by], before.alias("__before")).where("__before > 0")
     same = F.col("__range") == F.col("__in")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    own = F.row_number().over(Window.partitionBy("__range", *by).orderBy(*order)) - 1
     # at most a row per range
-    placed = dealt.withColumn("__own", own).join(F.broadcast(later), same, "left")
+    placed = dealt.join(F.broadcast(later), same, "left")
     at = (F.col("__own") + F.coalesce("__before", F.lit(0))).cast("int")
     numbers = {"batch_id": F.floor(at / n), "id": at % n, "running": at}
     return placed.withColumns(numbers).select(*[c for c in rows.columns if c not in numbers], *numbers)
 
 
-def prompts(batches: DataFrame, stage: str, by: list[str], text_col: str, id_col: str = "id") -> DataFrame:
-    """stage, the group, batch_id, n, prompt_hash, payload_json: one prompt a batch, its items with their ids."""
-    items = F.sort_array(F.collect_list(F.struct(F.col(id_col).cast("int").alias("id"), F.col(text_col).alias("text"))))
-    rows = batches.groupBy(*by, "batch_id").agg(items.alias("items"))
+def prompts(batches: DataFrame, stage: str, by: list[str], text_col: str, id_col: str = "id", alone: bool = False) -> DataFrame:
+    """stage, the group, batch_id, n, prompt_hash, payload_json: one prompt a batch, its items with their ids.
+
+    ``alone``: each row is a batch of its own, as batched makes them with n = 1; they stay where they are then.
+    """
+    item = F.struct(F.col(id_col).cast("int").alias("id"), F.col(text_col).alias("text"))
+    if alone:
+        rows = batches.select(*by, "batch_id", F.array(item).alias("items"))
+    else:
+        rows = batches.groupBy(*by, "batch_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     payload = F.to_json(F.struct("items"))
     return rows.select(
         F.lit(stage).alias("stage"),
@@ -167,6 +193,11 @@ def batch_qualities(sent: DataFrame, answers: DataFrame, cap: int = 12, on_error
     return rows.withColumn("qualities", F.slice(F.coalesce("qualities", none), 1, cap))
 
 
+def _short(prompt_hash: Column) -> Column:
+    """A SHA-256 in hexadecimal digits as its 32 bytes, half as long to send; any other text as more bytes than that."""
+    return F.when(prompt_hash.rlike(r"^[0-9a-f]{64}\z"), F.unhex(prompt_hash)).otherwise(F.encode(F.concat(F.lit(" " * 33), prompt_hash), "UTF-8"))
+
+
 def failed_batches(sent: DataFrame, answers: DataFrame, by: list[str]) -> DataFrame:
     """by, batch_id of the prompts without an answer."""
     said = answers.where("raw is not null").select("prompt_hash").distinct()
@@ -189,20 +220,24 @@ def decomposed(
         raise ValueError("unknown policy or mode")
     alone = mode == "sentences"
     if sent is None:
-        sent = prompts(batched(rows, 1 if alone else n, by, order), "decompose_text" if alone else "decompose", by, text_col)
+        sent = prompts(batched(rows, 1 if alone else n, by, order), "decompose_text" if alone else "decompose", by, text_col, alone=alone)
     items = F.from_json("payload_json", "items array<struct<id:int,text:string>>")["items"]
     asked = sent.select(*by, "batch_id", "prompt_hash", F.explode(items).alias("i")).withColumn("id", F.col("i.id")).drop("i")
     if alone:
-        policy = "left" if on_error != "stop" else "inner"
-        said = parsed(answers.where("raw is not null")).select("prompt_hash", F.slice(qualities_of(F.col("value")), 1, cap).alias("qualities"))
-        found = asked.join(said.dropDuplicates(["prompt_hash"]), "prompt_hash", policy)
+        said = parsed(answers.where("raw is not null")).select(_short(F.col("prompt_hash")).alias("key"), F.slice(qualities_of(F.col("value")), 1, cap).alias("qualities"))
+        asked = asked.select(*by, "batch_id", "id", _short(F.col("prompt_hash")).alias("key"))
+        found = asked.join(said.dropDuplicates(["key"]), "key", "left")  # without an answer: null
         if on_error == "fail":
             found = found.withColumn("qualities", F.coalesce("qualities", F.raise_error(F.lit("a text has no answer")).cast("array<string>")))
     else:
         found = batch_qualities(asked, answers, cap, on_error)
     if on_error == "stop":
-        first = failed_batches(sent, answers, by).groupBy(*by).agg(F.min("batch_id").alias("__stop"))
-        found = found.join(first, by, "left").where(F.col("__stop").isNull() | (F.col("batch_id") < F.col("__stop")))
+        if alone:
+            found = written(found.select(*by, "batch_id", "id", "qualities"))
+        failed = found.where("qualities is null") if alone else failed_batches(sent, answers, by)
+        if not alone or not failed.isEmpty():  # else no text has to go to its group
+            first = failed.groupBy(*by).agg(F.min("batch_id").alias("__stop"))
+            found = found.join(first, by, "left").where(F.col("__stop").isNull() | (F.col("batch_id") < F.col("__stop")))
     return found.select(*by, "batch_id", "id", F.posexplode("qualities").alias("pos", "quality"))
 
 

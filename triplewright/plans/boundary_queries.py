@@ -157,9 +157,9 @@ def s45p(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s45s(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prompt a text."""
     rows, by, order = qualities(spark, sf_dir), ["doc_id"], ["ord", "pos"]
-    sent = written(boundary.prompts(boundary.batched(rows, 1, by, order), "decompose_text", by, "quality"))
+    sent = written(boundary.prompts(boundary.batched(rows, 1, by, order), "decompose_text", by, "quality", alone=True))
     text = F.from_json("payload_json", "items array<struct<id:int,text:string>>")["items"][0]["text"]
-    answers = sent.select("prompt_hash", F.to_json(F.struct(F.array(text, F.lit(" ")).alias("qualities"))).alias("raw")).dropDuplicates(["prompt_hash"])
+    answers = sent.select("prompt_hash", F.to_json(F.struct(F.array(text, F.lit(" ")).alias("qualities"))).alias("raw"))  # equal ones for equal prompts
     return boundary.decomposed(rows, answers, 1, by, order, "quality", on_error="stop", mode="sentences", sent=sent)
 
 
